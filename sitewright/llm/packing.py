@@ -102,7 +102,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pack(capacity: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc", "piece"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["row", "piece"], kind="stable", ignore_index=True)
         return rows.assign(bin=best_fit_decreasing(rows["tokens"].to_numpy(), capacity))
 
     return run
@@ -116,23 +116,24 @@ def pack_documents(sizes: DataFrame, capacity: int, bins_a_shard: int = BINS_A_S
     room and get a null container. Repeated rows are packed again; an empty table gives an empty result; other columns
     are dropped.
 
-    Full pieces are containers already. The others are dealt at random, by a hash of the document, into shards of about
+    Full pieces are containers already. The others are dealt at random, by a hash of the row, into shards of about
     ``bins_a_shard`` containers, each packed in one task by best fit decreasing; a shard leaves no more than its last
     containers open, so the room lost is about one container in ``bins_a_shard``.
     """
     kind = sizes.schema["doc"].dataType
     sizes = cut(sizes.select("doc", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")))
+    sizes = sizes.withColumn("row", F.monotonically_increasing_id())
     last = F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0)).cast("int")
-    pieces = sizes.select("doc", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    pieces = sizes.select("doc", "row", "tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     begin = F.col("piece").cast("bigint") * capacity
-    pieces = pieces.select("doc", "piece", begin.alias("begin"), F.least(begin + capacity, "tokens").alias("end")).withColumn("tokens", F.col("end") - F.col("begin"))
+    pieces = pieces.select("doc", "row", "piece", begin.alias("begin"), F.least(begin + capacity, "tokens").alias("end")).withColumn("tokens", F.col("end") - F.col("begin"))
     rest = sizes.agg(F.sum(F.pmod("tokens", F.lit(capacity)))).first()[0] or 0
     shards = max(1, -(-rest // (capacity * bins_a_shard)))
     open_pieces = pieces.where((F.col("tokens") > 0) & (F.col("tokens") < capacity))
-    shape = T.StructType([T.StructField("doc", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("begin", "end", "tokens")), T.StructField("shard", T.IntegerType()), T.StructField("bin", T.LongType())])
-    shard = F.pmod(F.xxhash64("doc", "piece", F.lit("shard")), F.lit(shards)).cast("int")
+    shape = T.StructType([T.StructField("doc", kind), T.StructField("row", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("begin", "end", "tokens")), T.StructField("shard", T.IntegerType()), T.StructField("bin", T.LongType())])
+    shard = F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int")
     packed = open_pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(capacity), shape)
-    packed = packed.withColumn("container", F.concat_ws("-", F.lit("s"), "shard", "bin")).drop("shard", "bin")
+    packed = packed.withColumn("container", F.concat_ws("-", F.lit("s"), "shard", "bin")).drop("row", "shard", "bin")
     whole = pieces.where((F.col("tokens") == 0) | (F.col("tokens") == capacity))
-    own = F.when(F.col("tokens") > 0, F.concat_ws("-", F.lit("d"), F.col("doc").cast("string"), "piece"))
-    return packed.unionByName(whole.withColumn("container", own))
+    own = F.when(F.col("tokens") > 0, F.concat_ws("-", F.lit("f"), "row", "piece"))
+    return packed.unionByName(whole.withColumn("container", own).drop("row"))

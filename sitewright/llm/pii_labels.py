@@ -14,7 +14,7 @@ KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 # fixed values: words by which the training rules know the parts of names and addresses
 GIVEN = "Aisha Amara Anna Bruno Clara Dmitri Elena Emeka Felix Greta Hana Hugo Ilse Ingrid Joana Jonas Kenji Leila Lucia Marek Mina Nadia Noor Oskar Paulo Priya Ravi Samuel Sofia Stefan Teresa Tomas Victor Wei Yusuf".split()
 PARTICLES = "van der|von der|de la|del|von|van|de|da|di|al|el|ten|zu|la|le"
-STREETS = "Street|St\\.|Road|Rd\\.|Avenue|Ave\\.|Lane|Court|Square|Drive|Way|Place|Terrace|Hill|Row|Close|Crescent"
+STREETS = "Street|St\\.|Road|Rd\\.?|Avenue|Ave\\.|Lane|Court|Square|Drive|Way|Place|Terrace|Hill|Row|Close|Crescent"
 ROAD_WORDS = "rue|avenue|boulevard|place|allée|chemin|quai"
 ROAD_FIRST = "Calle|Avenida|Rua|Plaza|Via|Paseo|Camino|Travessa|Carrer"
 ROAD_ENDS = "weg|straße|strasse|str\\.|gasse|allee|platz|ring|ufer|damm"
@@ -24,21 +24,21 @@ LABELS = (
 )
 
 _GAP = r"(?:~|\\,|\\ |[ \t]*\n[ \t]*(?:%[ \t]*)?|[ \t]+)"
-_LETTER = r"(?:[^\W\d_]|\\[\"'`^~=.]\{?\\?[A-Za-z]\}?|\\[vcuHk]\{[A-Za-z]\})"
+_LETTER = r"(?:[^\W\d_]|\\[\"'`^~=.]\{?\\?[A-Za-z]\}?|\\[vcuHk]\{[A-Za-z]\}|\{\\(?:o|O|l|L|ss|aa|AA|ae|AE|oe|OE)\})"
 _INITIAL = r"[A-Z]\."
 _GIVEN = rf"(?:{'|'.join(GIVEN)})(?:-(?:{'|'.join(GIVEN)}))?"
-_SURNAME = rf"(?:(?:{PARTICLES}){_GAP})*(?:al-)?(?=[A-ZÀ-Ý]|\\)(?!\\(?:and|thanks|texttt|inst|footnote)){_LETTER}{{3,}}(?:-{_LETTER}{{3,}})?"
+_SURNAME = rf"(?:(?:{PARTICLES}){_GAP})*(?:al-)?(?=[A-ZÀ-Ý]|\\|\{{\\)(?!\\(?:and|thanks|texttt|inst|footnote)){_LETTER}{{3,}}(?:-{_LETTER}{{3,}})?"
 _NAME = re.compile(rf"(?<![\w\\@.-])(?:{_GIVEN}(?:{_GAP}{_INITIAL})*|{_INITIAL}(?:{_GAP}?{_INITIAL})*){_GAP}{_SURNAME}")
 _TOWN = rf"[A-ZÀ-Ý][^\W\d_]+(?:{_GAP}[A-Z][^\W\d_]+)?"
 _CODE = r"\d{4,6}"
 _ADDRESS = re.compile(
     rf"(?<![\w])(?:\d{{1,4}}[a-z]?{_GAP}(?:[A-ZÀ-Ý][^\W\d_]+{_GAP}){{1,2}}(?:{STREETS})(?:,{_GAP}Apt\.{_GAP}\d+)?,{_GAP}{_TOWN}{_GAP}{_CODE}"
     rf"|P\.{_GAP}?O\.{_GAP}Box{_GAP}\d+,{_GAP}{_TOWN}{_GAP}{_CODE}"
-    rf"|\d{{1,4}}{_GAP}(?:{ROAD_WORDS}){_GAP}(?:des|de{_GAP}la|de|du){_GAP}[A-ZÀ-Ý][^\W\d_]+,{_GAP}{_CODE}{_GAP}{_TOWN}"
+    rf"|\d{{1,4}}{_GAP}(?:{ROAD_WORDS}){_GAP}(?:(?:des|de{_GAP}la|de|du){_GAP})?[A-ZÀ-Ý][^\W\d_]+,{_GAP}{_CODE}{_GAP}{_TOWN}"
     rf"|[A-ZÀ-Ý][^\W\d_]+(?:{ROAD_ENDS}){_GAP}\d{{1,4}}[a-z]?,{_GAP}{_CODE}{_GAP}{_TOWN}"
     rf"|(?:{ROAD_FIRST}){_GAP}(?:de{_GAP})?[A-ZÀ-Ý][^\W\d_]+{_GAP}\d{{1,4}}[a-z]?,{_GAP}{_CODE}{_GAP}{_TOWN})"
 )
-_AT = rf"(?:\\?@|\\char64\{{\}}|{_GAP}?[\[(]at[\])]{_GAP}?|{_GAP}(?:AT|at){_GAP})"
+_AT = rf"(?:\\?@|\$@\$|\{{\\?@\}}|\\char64\{{\}}|{_GAP}?[\[(]at[\])]{_GAP}?|{_GAP}(?:AT|at){_GAP})"
 _DOT = rf"(?:\.|{_GAP}?[\[(]dot[\])]{_GAP}?|{_GAP}dot{_GAP})"
 _EMAIL = re.compile(rf"(?<![\w+.\\-])[A-Za-z0-9](?:[\w.+-]|\\_)*{_AT}[A-Za-z][\w-]*(?:{_DOT}[A-Za-z][\w-]*)*{_DOT}[A-Za-z]{{2,}}(?![\w-])")
 _SEP = rf"(?:--|[-./]|{_GAP})"
