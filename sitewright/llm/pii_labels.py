@@ -57,10 +57,11 @@ def _spans(text: str):
         yield m.start("n"), end - (text[end - 1] in ".-"), "id_number"
     for m in _PHONE.finditer(text):
         before = text[max(0, m.start() - 12) : m.start()]
-        if not re.search(r"(?:contract|grant|Build|protocol|lot|Runs of)\W*$", before):
+        if not re.search(r"(?:contract|grant|grid\s+of|Build|protocol|lot|Runs of)\W*$", before):
             yield m.start(), m.end(), "phone"
     for m in _NAME.finditer(text):
-        yield m.start(), m.end(), "person_name"
+        if text[m.start() + 1] != "." or not re.search(r"[\d%][\s~]*$", text[max(0, m.start() - 4) : m.start()]):  # else a unit
+            yield m.start(), m.end(), "person_name"
 
 
 def label(text: str) -> list[tuple[int, int, str]]:
