@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.plans import interval_queries
+from sitewright.plans import interval_queries, site_queries
 
-_MODULES = (interval_queries,)
+_MODULES = (interval_queries, site_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return interval_queries.p4_found(spark, directory)
+    return site_queries.result_table(spark, directory)
