@@ -77,7 +77,10 @@ def _one_hot(values: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def _counts(values: Column, kinds: tuple[str, ...]) -> Column:
-    return F.array(*(F.size(F.filter(values, lambda v, k=k: v == k)).cast("double") for k in kinds))
+    def count(kind: str) -> Column:
+        return F.size(F.filter(values, lambda v: v == kind)).cast("double")
+
+    return F.array(*(count(k) for k in kinds))
 
 
 def single_positions(seq: Column) -> Column:

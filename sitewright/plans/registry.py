@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewright.plans import interval_queries, site_queries
+from sitewright.plans import interval_queries, score_queries, site_queries
 
-_MODULES = (interval_queries, site_queries)
+_MODULES = (interval_queries, site_queries, score_queries)
 
 
 def queries() -> dict:
