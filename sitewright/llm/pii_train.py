@@ -1,4 +1,6 @@
-"""Train the tagger of personal information: ``python -m sitewright.llm.pii_train documents.parquet weights.npz``.
+"""Train the tagger of personal information: ``python -m sitewright.llm.pii_train documents.parquet weights.npz [epochs]``.
+
+A fourth argument names weights to go on from, at a lower rate and with all windows that hold names.
 
 A bounded sample of documents (``DOCUMENTS``) gives labelled windows: as they stand, and with their spans refilled, so
 that the tagger learns forms and surroundings instead of the names and numbers of the sample.
@@ -75,7 +77,9 @@ def main(source: str, target: str) -> None:
     r = random.Random(1)
     r.shuffle(texts)
     held = examples(texts[DOCUMENTS : DOCUMENTS + 500])
-    given = examples(texts[:DOCUMENTS], COPIES, NAMES_KEPT)
+    more = len(sys.argv) > 4
+    given = examples(texts[:DOCUMENTS], COPIES, 1.0 if more else NAMES_KEPT, seed=int(more))
+    start = Tagger.load(sys.argv[4]) if more else Tagger.fresh(TAGS, HIDDEN)
     print(len(given[0]), "windows,", sum(map(len, given[0])), "characters", flush=True)
 
     def report(epoch: int, loss: float, tagger: Tagger) -> None:
@@ -84,7 +88,7 @@ def main(source: str, target: str) -> None:
         print(f"epoch {epoch}: loss {loss:.3f}, held-out windows not all right {wrong} of {len(found)}", flush=True)
         tagger.save(target)
 
-    train(Tagger.fresh(TAGS, HIDDEN), *given, epochs=int(sys.argv[3]) if len(sys.argv) > 3 else 6, report=report)
+    train(start, *given, epochs=int(sys.argv[3]) if len(sys.argv) > 3 else 6, rate=1e-3 if more else 4e-3, report=report)
 
 
 if __name__ == "__main__":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.llm.leaks import find_leaks
 from sitewright.llm.packing import pack_documents, token_counts
+from sitewright.llm.pii import find_pii, redact_pii
 from sitewright.sources.tables import table
 
 CAPACITY = 8192
@@ -33,5 +34,14 @@ def p7_leaked_items(spark: SparkSession, directory: str) -> DataFrame:
     return leaks(spark, directory)
 
 
-QUERIES = {"p6_packed_articles": p6_packed_articles, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items}
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    found = find_pii(table(spark, directory, "documents"), "doc_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("kind").alias("pii_kind"), F.col("found").alias("pii_text")).distinct()
+
+
+def p8_redacted_articles(spark: SparkSession, directory: str) -> DataFrame:
+    return redact_pii(table(spark, directory, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {"p6_packed_articles": p6_packed_articles, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_redacted_articles": p8_redacted_articles}
 SQL: dict[str, str] = {}
