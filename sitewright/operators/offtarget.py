@@ -42,7 +42,7 @@ def similar_guides(candidates: DataFrame, library: DataFrame, letters: int, with
     """
     if within < 1:
         return candidates.select("guide", F.lit(None).cast("string").alias("other"), F.lit(0).alias("distance")).limit(0)
-    blocks = blocks or min(letters, within + (3 if within <= 3 else 2))
+    blocks = blocks or min(letters, within + 3)
     masks = [_mask(letters, kept) for _, kept in _choices(letters, within, blocks)]
     prepared = [df.where(F.col("guide").isNotNull()).select("guide").distinct().withColumn("code", pack(F.col("guide"))) for df in (candidates, library)]
     left, right = (_keyed(df, masks).withColumnRenamed("code", name) for df, name in zip(prepared, ("a", "b"), strict=True))

@@ -1,4 +1,4 @@
-"""The search for neutral integration sites as one lazy plan."""
+"""The search for neutral integration sites."""
 
 from __future__ import annotations
 
@@ -56,7 +56,7 @@ def chromosome_names(features: DataFrame) -> DataFrame:
 def candidate_sites(genome: DataFrame, params: SiteParams, sites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The sites with unique guides that pass the letter filters, and the guide library they were compared with."""
     sites = find_sites(genome, params) if sites is None else sites
-    library = guide_library(sites)
+    library = cut(guide_library(sites))  # read twice, by the uniqueness rules and by the comparison
     kept = sites.where(guide_passes(F.col("guide"), params)).join(unique_guides(library, params), "guide", "left_semi")
     return kept.withColumn("x", compared_location(F.col("location"), F.col("strand"), F.col("chrom_length"))), library
 
@@ -72,7 +72,7 @@ def neutral_sites(genome: DataFrame, features: DataFrame, genes: DataFrame, para
     kept, library = candidate_sites(genome, params, sites)
     kept = kept.where(~((F.col("location") < params.distal_end) | (F.col("location") > F.col("chrom_length") - params.distal_end)))
     kept = kept.where(arms_pass(F.col("left_arm"), F.col("right_arm"), params)).join(chromosome_names(features), "accession")
-    kept = annotate_sites(kept, genes, genome, params.intergenic_space, params.density_length)
+    kept = cut(annotate_sites(kept, genes, genome, params.intergenic_space, params.density_length))
     good = specific_guides(kept.select("guide"), library, params.guide_length, params.edit_distance, params.distance)
     found = kept.join(good, "guide")
     glen, plen = params.guide_length, len(params.pam)

@@ -115,7 +115,7 @@ def self_complements(spark: SparkSession, directory: str) -> DataFrame:
 
 def result_table(spark: SparkSession, directory: str) -> DataFrame:
     contigs, rows = genome(spark, directory), features(spark, directory)
-    return numbered(neutral_sites(contigs, rows, genes(rows), PARAMS)).drop("x")
+    return numbered(neutral_sites(contigs, rows, genes(rows), PARAMS)).drop("x").withColumn("on_target_score", F.round("on_target_score", 9))
 
 
 def good_hits(spark: SparkSession, directory: str) -> DataFrame:
@@ -172,6 +172,36 @@ o as (select accession, min(feature_row) as first_row from features group by acc
 zones as (select z.accession, cast(low as bigint) as low, cast(high as bigint) as high, row_number() over (order by first_row nulls last, z.accession, i) as zone from z left join o on o.accession = z.accession)"""
 
 
+def _near_sql(within: int, left: str) -> str:
+    """Pairs (guide, other, distance) within so many letters: such guides share one of ``within`` + 1 blocks."""
+    edges = [round(i * G / (within + 1)) for i in range(within + 2)]
+    parts = " union ".join(
+        f"select a.guide, b.guide as other, cast(hamming(a.guide, b.guide) as integer) as distance from {left} a join library b on substr(a.guide, {a + 1}, {b - a}) = substr(b.guide, {a + 1}, {b - a}) where a.guide <> b.guide and hamming(a.guide, b.guide) <= {within}"
+        for a, b in zip(edges, edges[1:], strict=False)
+    )
+    return f"near as ({parts})"
+
+
+_NEAR = f"{_BASE}, {_near_sql(NEAR, 'candidates')}"
+_RESULT = f"""{_FLANKS.replace('select p.accession, p.location, p.strand, a.tag', ', flanks as (select p.accession, p.location, p.strand, p.pam, a.tag')}),
+names as (select accession, arg_min(name, feature_row) as name from features where accession is not null group by accession),
+kept as (select c.*, n.name from cand c join names n on n.accession = c.accession where location >= {PARAMS.distal_end} and location <= chrom_length - {PARAMS.distal_end} and {_FREE}),
+dense as (select c.accession, c.location, c.strand, c.pam, case when max(e.n_genes) is not null then cast(count(g.start) as integer) end as gene_density from kept c left join ends e on e.accession = c.accession
+          left join genes g on g.accession = c.accession and g.start > greatest(0, c.x - {_W}) and g.stop < least(c.chrom_length, c.x + {_W}) group by c.accession, c.location, c.strand, c.pam),
+wanted as (select distinct guide from kept), {_near_sql(PARAMS.edit_distance, 'wanted')},
+nearest as (select guide, arg_min(other, (distance, other)) as other, min(distance) as distance from near group by guide),
+good as (select k.*, n.other, n.distance from kept k left join nearest n on n.guide = k.guide where n.distance is null or n.distance >= {PARAMS.edit_distance}),
+scored as (select *, {_WINDOW} as w from good),
+result as (select k.guide as guide_sequence, k.pam, k.accession, 100.0 * length(regexp_replace(k.guide, '[^GCS]', '', 'g')) / length(k.guide) as gc_content,
+    cast(len([j for j in range(0, {G - 4}) if regexp_matches(substr(k.guide, j + 1, 4), '[GCS]') and contains(substr({_RC.replace('guide', 'k.guide')}, 1, {G - 5} - j), substr(k.guide, j + 1, 4))]) as integer) as self_complementarity,
+    case when k.strand = '+' then k.location else k.chrom_length - k.location - {G + P} end as site_location, k.name as chromosome, k.strand, k.chrom_length, k.other as closest_off_target, k.distance as off_target_distance,
+    f.intergenic_size, f.left_gene, f.right_gene, f.relative_orientation, d.gene_density, k.left_arm as left_hr, k.right_arm as right_hr,
+    case when length(w) = 30 then round(1 / (1 + exp(-({RULE_INTERCEPT} + {RULE_LOW_GC} + {_RULES}))), 9) end as on_target_score
+  from scored k join flanks f using (accession, location, strand, pam) join dense d using (accession, location, strand, pam))
+select row_number() over (order by accession, site_location, strand, guide_sequence) as id, * from result
+"""
+
+
 def _bad(text: str, motifs: str) -> str:
     return f"regexp_matches({text}, '{motifs}')"
 
@@ -198,6 +228,10 @@ SQL = {
         left join genes g on g.accession = c.accession and g.start > greatest(0, c.x - {_W}) and g.stop < least(c.chrom_length, c.x + {_W}) group by c.accession, c.location, c.strand, c.pam""",
     "j7_chromosome_names": f"with {FEATURES_SQL} select accession, arg_min(name, feature_row) as name from features where accession is not null group by accession",
     "flt_p12p13_distal": f"{_FULL} select accession, location, strand, pam from sites where location >= {PARAMS.distal_end} and location <= chrom_length - {PARAMS.distal_end} and accession in (select accession from features)",
+    "j3_similar_guides": f"{_NEAR} select guide, other, distance from near",
+    "o4_nearest_guide": f"{_NEAR} select guide, arg_min(other, (distance, other)) as other, min(distance) as distance from near group by guide",
+    "a5_mismatch_histogram": f"{_NEAR} select cast(d.range as integer) as distance, count(near.distance) as pairs from range({NEAR + 1}) d left join near on near.distance = d.range group by d.range",
+    "result_neutral_sites": _RESULT,
     "m1_rule_scores": f"{_BASE}, w as (select *, {_WINDOW} as w from sites where left_arm is not null and right_arm is not null) select accession, location, strand, pam, w as window, round(1 / (1 + exp(-({RULE_INTERCEPT} + {RULE_LOW_GC} + {_RULES}))), 9) as score from w",
     "f7_self_complementarity": f"""{_BASE} select guide, cast(len([j for j in range(0, {G - 4}) if regexp_matches(substr(guide, j + 1, 4), '[GCS]') and contains(substr({_RC}, 1, {G - 5} - j), substr(guide, j + 1, 4))]) as integer) as stems,
         100.0 * length(regexp_replace(guide, '[^GCS]', '', 'g')) / length(guide) as gc from library""",

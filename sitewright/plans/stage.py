@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -17,3 +19,15 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder of this package on the import path of the session's Python workers.
+
+    Workers on this machine, or on others that see the folder under the same path, then need no installation. Elsewhere
+    install the package or ship it with ``addPyFile``.
+    """
+    home = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (home, known) if x)
