@@ -44,7 +44,8 @@ def similar_guides(candidates: DataFrame, library: DataFrame, letters: int, with
         return candidates.select("guide", F.lit(None).cast("string").alias("other"), F.lit(0).alias("distance")).limit(0)
     blocks = blocks or min(letters, within + 3)
     masks = [_mask(letters, kept) for _, kept in _choices(letters, within, blocks)]
-    prepared = [df.where(F.col("guide").isNotNull()).select("guide").distinct().withColumn("code", pack(F.col("guide"))) for df in (candidates, library)]
+    parts = int(library.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each guide makes many keys, so few bytes are much work
+    prepared = [df.where(F.col("guide").isNotNull()).select("guide").repartition(parts, "guide").distinct().withColumn("code", pack(F.col("guide"))) for df in (candidates, library)]
     left, right = (_keyed(df, masks).withColumnRenamed("code", name) for df, name in zip(prepared, ("a", "b"), strict=True))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     pairs = left.join(right, ["choice", "part"]).where((F.col("a") != F.col("b")) & (packed_hamming(F.col("a"), F.col("b")) <= within) & (_first_choice(differ, masks) == F.col("choice")))

@@ -18,7 +18,8 @@ PARAMS = SiteParams(seed_length=10, intergenic_space=30, distal_end=60, arm_leng
 def genome(spark: SparkSession, directory: str) -> DataFrame:
     """One record (accession, seq, chrom_length) a contig: its latest delivery, without organelles and layout."""
     records = without_organelles(table(spark, directory, "contigs")).select(F.upper(F.trim("accession")).alias("accession"), "loaded_at", letters(F.col("seq")).alias("seq"))
-    latest = latest_by_key(records.where(F.col("accession").isNotNull() & (F.length("seq") > 0)), "accession", "loaded_at", ["seq"])
+    known = records.where(F.col("accession").isNotNull() & (F.length("seq") > 0))
+    latest = latest_by_key(known, "accession", "loaded_at", ["seq"], int(spark.conf.get("spark.sql.shuffle.partitions")))
     return latest.select("accession", "seq", F.length("seq").cast("bigint").alias("chrom_length"))
 
 

@@ -77,7 +77,8 @@ def neutral_sites(genome: DataFrame, features: DataFrame, genes: DataFrame, para
     found = kept.join(good, "guide")
     glen, plen = params.guide_length, len(params.pam)
     window = context_window(plain_letters(F.col("left_arm")), F.col("guide"), F.col("pam"), plain_letters(F.col("right_arm")), glen)
-    score = SCORERS[scorer](window) if params.pam == "NGG" and params.orientation == "3prime" else F.lit(None).cast("double")
+    found = found.withColumn("window", window)  # a column of its own, as scorers read it many times
+    score = SCORERS[scorer](F.col("window")) if params.pam == "NGG" and params.orientation == "3prime" else F.lit(None).cast("double")
     return found.select(
         F.col("guide").alias("guide_sequence"), "pam", "accession", gc_percent(F.col("guide")).alias("gc_content"), self_complementarity(F.col("guide"), glen, params.gc_scale).alias("self_complementarity"),
         reported_location(F.col("location"), F.col("strand"), F.col("chrom_length"), glen, plen).alias("site_location"), F.col("name").alias("chromosome"), "strand", "chrom_length",

@@ -106,7 +106,8 @@ def off_target_histogram(spark: SparkSession, directory: str) -> DataFrame:
 def rule_scores(spark: SparkSession, directory: str) -> DataFrame:
     sites = _sites(spark, directory).where(F.col("left_arm").isNotNull() & F.col("right_arm").isNotNull())
     window = context_window(plain_letters(F.col("left_arm")), plain_letters(F.col("guide")), plain_letters(F.col("pam")), plain_letters(F.col("right_arm")), G)
-    return sites.select("accession", "location", "strand", "pam", window.alias("window"), F.round(rule_score(window), 9).alias("score"))
+    seen = sites.select("accession", "location", "strand", "pam", window.alias("window"))
+    return seen.withColumn("score", F.round(rule_score(F.col("window")), 9))
 
 
 def self_complements(spark: SparkSession, directory: str) -> DataFrame:
