@@ -140,14 +140,22 @@ def melting_features(window: Column) -> Column:
     return F.array(*(melting_temperature(F.substr(window, F.lit(a + 1), F.lit(b - a)), b - a, RNA_PAIRS) for a, b in parts))
 
 
-def window_features(window: Column) -> Column:
+def window_features(window: Column, options: dict | None = None) -> Column:
     """The 627 features of a 30-letter window: letters and pairs by place and number, GC above and below ten and its
-    count, the letters beside the PAM, and temperatures. Null for other lengths or without the GG of the PAM."""
+    count, the letters beside the PAM, and temperatures. Null for other lengths or without the GG of the PAM. Of the
+    ``options``, nuc_features, gc_features, include_NGGX_interaction and include_Tm switch groups off, order 1 the pairs.
+    """
+    options = options or {}
     gc = guide_gc(window)
-    features = F.concat(
-        single_positions(window), single_counts(window), pair_positions(window), pair_counts(window),
-        F.array((gc > 10).cast("double"), (gc < 10).cast("double"), gc.cast("double")), beside_pam(window), melting_features(window),
-    )
+    parts = []
+    if options.get("nuc_features", True):
+        parts += [single_positions(window), single_counts(window)]
+        parts += [pair_positions(window), pair_counts(window)] if options.get("order", 2) > 1 else []
+    if options.get("gc_features", True):
+        parts.append(F.array((gc > 10).cast("double"), (gc < 10).cast("double"), gc.cast("double")))
+    parts += [beside_pam(window)] if options.get("include_NGGX_interaction", True) else []
+    parts += [melting_features(window)] if options.get("include_Tm", True) else []
+    features = F.concat(*parts)
     return F.when((F.length(window) == WINDOW) & (F.substr(window, F.lit(26), F.lit(2)) == "GG"), features)
 
 

@@ -61,3 +61,13 @@ def first_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key by an explicit order; ties are settled by all other columns."""
     rest = [F.col(c) for c in df.columns if c not in order and c != key]
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order, *rest))).where(F.col("_place") == 1).drop("_place")
+
+
+def over_runs(counts: DataFrame, run: str, by: Sequence[str], value: str) -> DataFrame:
+    """Mean and population deviation of ``value`` over the runs, for each combination of ``by``; a run without a row for
+    a combination counts as 0."""
+    runs = counts.select(run).distinct().count()
+    sums = counts.groupBy(run, *by).agg(F.sum(value).cast("double").alias("v")).groupBy(*by).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    mean = F.col("s") / runs if runs else F.lit(None).cast("double")
+    square = F.greatest(F.col("q") / runs - mean * mean, F.lit(0.0)) if runs else F.lit(None).cast("double")
+    return sums.select(*by, mean.alias("mean"), F.sqrt(square).alias("deviation"))

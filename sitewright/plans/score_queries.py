@@ -9,7 +9,7 @@ from sitewright.functions.guides import pack, packed_hamming, usable_guide
 from sitewright.functions.scoring import DNA_PAIRS, KELVIN, PAIRS, RNA_PAIRS, SINGLES, bacterial_features, melting_temperature, scaled, single_counts, window_features
 from sitewright.functions.sequences import kmers, plain_letters, reverse_complement
 from sitewright.operators.latest import latest_by_key
-from sitewright.operators.reports import fitted_line, first_rows, long_form, plot_labels, plot_segments, row_statistics, standardised
+from sitewright.operators.reports import fitted_line, first_rows, long_form, over_runs, plot_labels, plot_segments, row_statistics, standardised
 from sitewright.params import IUPAC
 from sitewright.sources.tables import table
 
@@ -180,10 +180,23 @@ def known_contigs(spark: SparkSession, directory: str) -> DataFrame:
     return sites.join(common, "accession").groupBy("accession").agg(F.count("*").alias("n"))
 
 
+def guides_at_distance(spark: SparkSession, directory: str) -> DataFrame:
+    """Distinct guides at each reported distance of the closest other one."""
+    rows = _guides(spark, directory).withColumn("mismatches", F.split("closest_off_target", ",")[0].cast("int"))
+    return rows.where(F.col("mismatches").isNotNull()).groupBy("mismatches").agg(F.countDistinct("guide").alias("guides"))
+
+
+def batch_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows of each frequency, on average over the batches."""
+    counts = table(spark, directory, "grna_occurrence").where(F.col("frequency") > 0).groupBy("batch_no", "frequency").agg(F.count("*").alias("n"))
+    return over_runs(counts, "batch_no", ["frequency"], "n").select("frequency", F.round("mean", 6).alias("mean"), F.round("deviation", 4).alias("deviation"))
+
+
 QUERIES = {
     "f1f10f11_complements": reverse_complements, "g3_pair_windows": pair_windows, "g1_expanded_guides": expanded_guides, "f14f15_off_target_distance": off_target_distance, "a12_letter_counts": letter_counts,
     "m6_feature_sums": feature_sums, "m12_temperatures": temperatures, "m11_bacterial_features": bacterial_sums, "a8_score_range": score_range, "a9_standard_scores": standard_scores, "v1_plot_labels": labels, "v2_plot_segments": segments,
     "v3_bars": bars, "a10_row_statistics": triplicates, "a11_fitted_lines": price_lines, "a14_first_sites": first_sites, "o6_known_contigs": known_contigs,
+    "a7_guides_at_distance": guides_at_distance, "a6_batch_statistics": batch_statistics,
 }
 SQL = {
     "f1f10f11_complements": f"{_BASE} select site_id, translate(reverse(left_hr), 'ACGTMRWSYKVHDBN', 'TGCAKYWSRMBDHVN') as left_rc, translate(right_hr, 'MRWSYKVHDBN', 'AAACCGAAACA') as right_plain, regexp_matches(left_hr, '[MRWSYKVHDBN]') as ambiguous from exported",
@@ -212,5 +225,9 @@ SQL = {
     "a10_row_statistics": "with v as (select concat(l_orderkey, '-', l_linenumber) as line, cast(l_quantity as double) as a, cast(l_discount as double) as b, cast(l_tax as double) as c from lineitem), m as (select *, (a + b + c) / 3 as mean from v) select line, round(mean, 6) as mean, round(sqrt(((a - mean) * (a - mean) + (b - mean) * (b - mean) + (c - mean) * (c - mean)) / 3), 6) as deviation from m",
     "a11_fitted_lines": "select l_returnflag, round(regr_slope(cast(l_extendedprice as double), cast(l_quantity as double)), 4) as slope, round(regr_intercept(cast(l_extendedprice as double), cast(l_quantity as double)), 2) as intercept from lineitem group by l_returnflag",
     "a14_first_sites": f"{_BASE}, p as (select accession, site_location, site_id, guide, row_number() over (partition by accession order by site_location nulls first, site_id nulls first, guide) as n from exported where accession is not null) select accession, site_location, site_id, guide from p where n = 1",
+    "a7_guides_at_distance": f"{_BASE}, d as (select guide, try_cast(split_part(closest_off_target, ',', 1) as integer) as mismatches from sited) select mismatches, count(distinct guide) as guides from d where mismatches is not null group by mismatches",
+    "a6_batch_statistics": """with b as (select distinct batch_no from grna_occurrence where frequency > 0), f as (select distinct frequency from grna_occurrence where frequency > 0),
+        c as (select batch_no, frequency, count(*) as n from grna_occurrence where frequency > 0 group by all), g as (select f.frequency, cast(coalesce(c.n, 0) as double) as n from b cross join f left join c on c.batch_no = b.batch_no and c.frequency = f.frequency)
+        select frequency, round(avg(n), 6) as mean, round(stddev_pop(n), 4) as deviation from g group by frequency""",
     "o6_known_contigs": "select accession, count(*) as n from site_output where accession in (select accession from contigs) group by accession",
 }

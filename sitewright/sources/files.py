@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import subprocess
+from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,38 @@ def read_hits(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=HIT_SCHEMA)
 
 
+def read_essential(spark: SparkSession, path: str | Sequence[str], organisms: Sequence[str]) -> DataFrame:
+    """(DEG_id, Sequence) of an essential-gene table, the rows of the given organisms."""
+    rows = spark.read.csv(path, header=True)
+    return rows.where(F.col("Organism").isin(*organisms)).select(F.col(rows.columns[0]).alias("DEG_id"), F.col(rows.columns[1]).alias("Sequence"))
+
+
+def search_hits(queries: DataFrame, key: str, seq: str, command: Sequence[str]) -> DataFrame:
+    """Hits of an outside search program that every executor has: it reads FASTA and writes twelve tab-separated columns.
+
+    Each partition runs the program once over its own records. Rows with a null key or sequence are left out.
+    """
+    command = list(command)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = [line.as_py() for batch in batches for line in batch.column(0)]
+        if lines:
+            found = subprocess.run(command, input="".join(lines), capture_output=True, text=True, check=True).stdout
+            rows = [line.split("\t") for line in found.splitlines()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(12)], names)
+
+    fields = [field.split(" ") for field in HIT_SCHEMA.split(", ")]
+    names = [name for name, _ in fields]
+    records = queries.select(F.concat(F.lit(">"), F.col(key), F.lit("\n"), F.col(seq), F.lit("\n")).alias("record")).where(F.col("record").isNotNull())
+    hits = records.mapInArrow(run, ", ".join(f"{name} string" for name in names))
+    return hits.select(*(F.col(name).cast(kind).alias(name) for name, kind in fields))
+
+
+def read_model_options(path: str) -> dict:
+    """The switches of a feature model from a small JSON file."""
+    return json.loads(Path(path).read_text())
+
+
 def read_runs(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Tab-separated files of several runs, each row with its file's name in ``run``."""
     return spark.read.csv(list(paths), sep="\t", header=True, schema=schema).withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -1))
