@@ -44,4 +44,15 @@ def p8_redacted_articles(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p6_packed_articles": p6_packed_articles, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_redacted_articles": p8_redacted_articles}
-SQL: dict[str, str] = {}
+
+
+def _runs_sql(name: str, key: str, text: str, rows: str) -> str:
+    """All runs of ``MIN_WORDS`` words of a text column, one row each."""
+    plain = f"regexp_replace({text}, '\\\\(?:cite[a-z]*|ref|eqref|label)\\*?(?:\\[[^\\]]*\\])*\\{{[^{{}}]*\\}}', ' ', 'g')"
+    plain = f"regexp_replace(regexp_replace({plain}, '\\\\-', '', 'g'), '\\\\[A-Za-z@]+\\*?', ' ', 'g')"
+    return f"""{name}_words as (select {key}, unnest(w) as word, generate_subscripts(w, 1) as place from (select {key}, regexp_extract_all(lower({plain}), '[\\p{{L}}\\p{{N}}]+') as w from {rows} where {text} is not null)),
+{name}_runs as (select {key}, string_agg(word, ' ') over run as words, count(*) over run as n from {name}_words window run as (partition by {key} order by place rows between current row and {MIN_WORDS - 1} following)),
+{name} as (select distinct {key}, words from {name}_runs where n = {MIN_WORDS})"""
+
+
+SQL = {"p7_found": f"with {_runs_sql('d', 'doc_id', 'text', 'documents')}, {_runs_sql('i', 'item_id', 'passage', 'eval_passages')} select distinct doc_id, item_id from d join i using (words)"}
