@@ -70,8 +70,8 @@ def ngram_counts(df: DataFrame, record: str, terms: str, weight: str | None = No
     give nothing (a suffix ends before a null term); a null weight counts as 0, a null record adds to the totals only;
     repeated rows count again; an empty table gives an empty result; other columns are ignored, whatever their names.
 
-    Each position sends one truncated suffix, routed by its first term and, so that a hot term spreads over ``spread``
-    tasks, by its record. A task sees its suffixes in reverse lexicographic order and closes prefixes from a stack.
+    Each position makes one truncated suffix; equal suffixes of a record are added up before anything is shuffled. What
+    is left is routed by its first term and, so that a hot term spreads over ``spread`` tasks, by its record. A task sees its suffixes in reverse lexicographic order and closes prefixes from a stack.
     Records of different routes differ, so the counts of the routes add up. A task's record sets hold one first term's
     records of one route.
     """
@@ -85,7 +85,7 @@ def ngram_counts(df: DataFrame, record: str, terms: str, weight: str | None = No
         cutoff = F.slice("terms", F.col("at") + 1, max_n)
         gap = F.array_position(F.transform(cutoff, lambda t: t.isNull()), True)
         suffixes = one.select(F.when(gap > 0, F.slice(cutoff, F.lit(1), gap.cast("int") - 1)).otherwise(cutoff).alias("suffix"), "record", "weight", "first")
-    suffixes = suffixes.where(F.col("first").isNotNull())
+    suffixes = suffixes.where(F.col("first").isNotNull()).groupBy("suffix", "record", "first").agg(F.sum("weight").alias("weight"))
     route = F.pmod(F.xxhash64(F.coalesce("record", F.lit(""))), F.lit(spread))
     routed = suffixes.withColumn("route", route).repartition("first", "route").sortWithinPartitions(F.desc("suffix"), "route")
     parts = routed.select("suffix", "record", "weight").mapInArrow(_stack_counts, _COUNTS)
