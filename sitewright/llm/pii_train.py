@@ -19,7 +19,7 @@ from sitewright.llm.pii_windows import windows
 from sitewright.llm.tagger import Tagger, train
 
 DOCUMENTS = 8000
-COPIES = 3
+REFILLS = 3
 NAMES_KEPT = 0.35
 HIDDEN = 32
 TAGS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
@@ -45,17 +45,17 @@ def refilled(text: str, spans: list[tuple[int, int, str]], r: random.Random) ->
     return "".join([*parts, text[at:]]), moved
 
 
-def examples(texts: Sequence[str], copies: int = 0, names_kept: float = 1.0, seed: int = 0) -> tuple[list[str], list[np.ndarray]]:
-    """Windows with their tags, equal windows once: each text as it is, and ``copies`` times with its spans refilled.
+def examples(texts: Sequence[str], refills: int = 0, names_kept: float = 1.0, seed: int = 0) -> tuple[list[str], list[np.ndarray]]:
+    """Windows with their tags, equal windows once: each text as it is, and ``refills`` times with its spans refilled.
 
-    The rare kinds, and windows with digits that are no case, come with every copy. Of the windows that hold names or
+    The rare kinds, and windows with digits that are no case, come with every refill. Of the windows that hold names or
     nothing, a share of ``names_kept`` is taken from the first two copies only.
     """
     r = random.Random(seed)
     seen: dict[str, np.ndarray] = {}
     for text in texts:
         spans = label(text)
-        for n in range(copies + 1):
+        for n in range(refills + 1):
             t, s = (text, spans) if not n else refilled(text, spans, r)
             tags = tag_numbers(len(t), s)
             for a, b, _, _ in windows(t):
@@ -78,7 +78,7 @@ def main(source: str, target: str) -> None:
     r.shuffle(texts)
     held = examples(texts[DOCUMENTS : DOCUMENTS + 500])
     more = len(sys.argv) > 4
-    given = examples(texts[:DOCUMENTS], COPIES, 1.0 if more else NAMES_KEPT, seed=int(more))
+    given = examples(texts[:DOCUMENTS], REFILLS, 1.0 if more else NAMES_KEPT, seed=int(more))
     start = Tagger.load(sys.argv[4]) if more else Tagger.fresh(TAGS, HIDDEN)
     print(len(given[0]), "windows,", sum(map(len, given[0])), "characters", flush=True)
 
