@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitewright.functions.guides import GUIDE_LETTERS
+from sitewright.operators.offtarget import nearest_codes
 
 BLOCKS = 5
 _BITS = 2 * GUIDE_LETTERS // BLOCKS
@@ -140,24 +141,28 @@ def close_codes(codes: DataFrame, max_distance: int) -> DataFrame:
     return found.unionByName(found.select(F.col("right").alias("left"), F.col("left").alias("right"), "distance"))
 
 
-def nearest_guides(df: DataFrame, site: str, code: str, k: int = 10, max_distance: int = 2) -> DataFrame:
-    """Rows (site, other, distance): for every site the ``k`` sites with the most similar guides, of those that differ
-    in at most ``max_distance`` letters; ties go to the smaller id.
+def nearest_guides(df: DataFrame, site: str, code: str, k: int = 10, max_distance: int | None = None) -> DataFrame:
+    """Rows (site, other, distance): for every site the ``k`` sites with the most similar guides, ties to the smaller id;
+    with ``max_distance`` only of those that differ in at most so many letters.
 
     Rows with a null site or code take no part, equal rows count once, a site is never its own neighbour; an empty table
     gives an empty result; other columns are dropped, whatever their names. A guide that very many sites share costs no
     more than its sites: every guide offers its first k + 1 sites to the others.
 
-    Guides become hash strings whose order of blocks differs by tree. The sorted arrays are searched from the longest
-    common prefix upwards, to the prefix that guides within ``max_distance`` letters share in one of the trees at least,
-    so that none is missed.
+    With ``max_distance``, guides become hash strings whose order of blocks differs by tree, and those that share the
+    prefix which guides so near share in one of the trees at least are compared, so that none is missed. Without it the
+    search of ``nearest_codes`` is widened until every guide has ``k`` others.
     """
-    if not 0 < max_distance < BLOCKS:
+    if max_distance is not None and not 0 < max_distance < BLOCKS:
         raise ValueError(f"max_distance must be 1 to {BLOCKS - 1}")
     sites = df.select(F.col(site).alias("site"), F.col(code).alias("code")).dropna().distinct()
     by_id = Window.partitionBy("code").orderBy("site")
     heads = sites.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= k + 1).drop("rank")
-    near = close_codes(sites.select("code").distinct(), max_distance)
+    codes = sites.select("code").distinct()
+    if max_distance is None:
+        near = nearest_codes(codes, codes, GUIDE_LETTERS, k).select(F.col("code").alias("left"), F.col("other").alias("right"), "distance")
+    else:
+        near = close_codes(codes, max_distance)
     offered = near.join(heads.withColumnRenamed("code", "right").withColumnRenamed("site", "other"), "right").select(F.col("left").alias("code"), "other", "distance")
     offered = offered.unionByName(heads.select("code", F.col("site").alias("other"), F.lit(0).alias("distance")))
     best = Window.partitionBy("code").orderBy("distance", "other")

@@ -75,13 +75,13 @@ select distinct accession, case when list_max([length(x) for x in regexp_split_t
 """
 
 
-def similar_sites(spark: SparkSession, directory: str) -> DataFrame:
+def similar_sites(spark: SparkSession, directory: str, max_distance: int | None = None) -> DataFrame:
     sites = table(spark, directory, "site_output").select("site_id", pack(usable_guide(F.col("guide_sequence"))).alias("code"))
-    return nearest_guides(sites, "site_id", "code", NEIGHBOURS, MAX_DIFFERING)
+    return nearest_guides(sites, "site_id", "code", NEIGHBOURS, max_distance)
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    return similar_sites(spark, directory).select(F.least("site", "other").alias("site_a"), F.greatest("site", "other").alias("site_b")).distinct()
+    return similar_sites(spark, directory, MAX_DIFFERING).select(F.least("site", "other").alias("site_a"), F.greatest("site", "other").alias("site_b")).distinct()
 
 
 def p3_neighbours(spark: SparkSession, directory: str) -> DataFrame:

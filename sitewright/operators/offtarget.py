@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitewright.functions.guides import pack, packed_hamming, unpack
+from sitewright.plans.stage import cut
+
+#: Guides and library guides that one group compares each with each.
+_WANTED, _LIBRARY = 2048, 65536
+#: What a pair met in the join, and a key made for it, cost beside a pair compared each with each.
+_PAIR_COST, _KEY_COST = 12, 400
 
 
 def _choices(letters: int, differing: int, blocks: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -42,14 +52,105 @@ def similar_guides(candidates: DataFrame, library: DataFrame, letters: int, with
     """
     if within < 1:
         return candidates.select("guide", F.lit(None).cast("string").alias("other"), F.lit(0).alias("distance")).limit(0)
+    pairs = _similar_codes(*(_codes(df) for df in (candidates, library)), letters, within, blocks)
+    return pairs.select(unpack(F.col("code"), letters).alias("guide"), unpack(F.col("other"), letters).alias("other"), "distance")
+
+
+def _codes(df: DataFrame) -> DataFrame:
+    """The distinct packed guides of column guide."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each guide makes many keys, so few bytes are much work
+    return df.where(F.col("guide").isNotNull()).select("guide").repartition(parts, "guide").distinct().select(pack(F.col("guide")).alias("code"))
+
+
+def _similar_codes(wanted: DataFrame, library: DataFrame, letters: int, within: int, blocks: int | None = None) -> DataFrame:
+    """``similar_guides`` of distinct packed guides: rows (code, other, distance)."""
     blocks = blocks or min(letters, within + 3)
     masks = [_mask(letters, kept) for _, kept in _choices(letters, within, blocks)]
-    parts = int(library.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each guide makes many keys, so few bytes are much work
-    prepared = [df.where(F.col("guide").isNotNull()).select("guide").repartition(parts, "guide").distinct().withColumn("code", pack(F.col("guide"))) for df in (candidates, library)]
-    left, right = (_keyed(df, masks).withColumnRenamed("code", name) for df, name in zip(prepared, ("a", "b"), strict=True))
+    left, right = (_keyed(df, masks).withColumnRenamed("code", name) for df, name in ((wanted, "a"), (library, "b")))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     pairs = left.join(right, ["choice", "part"]).where((F.col("a") != F.col("b")) & (packed_hamming(F.col("a"), F.col("b")) <= within) & (_first_choice(differ, masks) == F.col("choice")))
-    return pairs.select(unpack(F.col("a"), letters).alias("guide"), unpack(F.col("b"), letters).alias("other"), packed_hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
+    return pairs.select(F.col("a").alias("code"), F.col("b").alias("other"), packed_hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
+
+
+def _halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper and the lower bits of each letter of packed guides, in short integers that are quick to compare."""
+    upper, lower = np.zeros((2, len(codes)), np.uint32)
+    for i in range(31):
+        lower |= (codes >> 2 * i & 1).astype(np.uint32) << i
+        upper |= (codes >> 2 * i + 1 & 1).astype(np.uint32) << i
+    return upper, lower
+
+
+def _nearest_in_group(k: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted, codes = (t.column("code").to_numpy() for t in (left, right))
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]]
+        upper, lower = _halves(codes)
+        x, y, differing = np.empty_like(upper), np.empty_like(lower), np.empty(len(codes), np.uint8)
+        least = min(k, len(codes))
+        for code, high, low in zip(wanted, *_halves(wanted), strict=True) if len(codes) else ():
+            np.bitwise_xor(upper, high, out=x)
+            np.bitwise_xor(lower, low, out=y)
+            np.bitwise_or(x, y, out=x)
+            np.bitwise_count(x, out=differing)
+            differing[differing == 0] = 255  # the guide itself
+            last = min(int(differing.min()), 31)
+            while last < 31 and np.count_nonzero(differing <= last) < least:
+                last += 1
+            near = np.flatnonzero(differing <= last)
+            for rows, values in zip(found, (np.full(len(near), code), codes[near], differing[near].astype(np.int32)), strict=True):
+                rows.append(values)
+        return pa.table({name: np.concatenate(rows) for name, rows in zip(("code", "other", "distance"), found, strict=True)})
+
+    return run
+
+
+def _nearest_of_all(wanted: DataFrame, library: DataFrame, n: int, m: int, k: int) -> DataFrame:
+    """Each of ``n`` codes compared with each of ``m``, in groups of a bounded size."""
+    rows, columns = -(-n // _WANTED), -(-m // _LIBRARY)
+    block = lambda count: F.pmod(F.xxhash64("code"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    parts = min(rows * columns, 4096)
+    left = wanted.select("code", block(rows).alias("row"), every(columns).alias("column")).repartition(parts, "row", "column")
+    right = library.select("code", every(rows).alias("row"), block(columns).alias("column")).repartition(parts, "row", "column")
+    found = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(_nearest_in_group(k), "code bigint, other bigint, distance int")
+    return _first_with_ties(found, k)
+
+
+def _first_with_ties(pairs: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("code").orderBy("distance")
+    return pairs.withColumn("rank", F.rank().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
+def nearest_codes(wanted: DataFrame, library: DataFrame, letters: int, k: int = 1) -> DataFrame:
+    """Rows (code, other, distance): for every packed guide of ``wanted`` the ``k`` of ``library`` that differ from it in
+    the fewest letters, however many these are, and all that tie with the last of them. Itself is not counted.
+
+    Both inputs have a column code; nulls take no part, repeated codes count once. The join of ``similar_guides`` is
+    widened by a letter at a time for those that still have fewer than ``k``, until comparing the rest with the whole
+    library is less work. The result is exact; only a library of fewer than ``k`` others gives fewer rows.
+    """
+    parts = int(library.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted, library = (cut(df.select("code").dropna().repartition(parts, "code").distinct()) for df in (wanted, library))
+    n, m = wanted.count(), library.count()
+    within, expected = 0, 0.0
+    while within < letters and expected < 2 * k + 1:  # library guides so near, were all letters even
+        within += 1
+        expected += m * comb(letters, within) * 3**within / 4**letters
+    found = []
+    while n and m:
+        choices = comb(within + 3, 3)
+        met = n * m * choices / 4 ** (letters * 3 / (within + 3))
+        if within + 3 > letters or n * m <= _PAIR_COST * met + _KEY_COST * choices * (n + m):
+            found.append(_nearest_of_all(wanted, library, n, m, k))
+            break
+        near = cut(_first_with_ties(_similar_codes(wanted, library, letters, within), k))
+        whole = near.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("code")
+        found.append(near.join(whole, "code", "left_semi"))
+        wanted = cut(wanted.join(whole, "code", "left_anti").repartition(parts, "code"))
+        n, within = wanted.count(), within + 1
+    none = wanted.select("code", F.col("code").alias("other"), F.lit(0).alias("distance")).limit(0)
+    return reduce(DataFrame.unionByName, found) if found else none
 
 
 def nearest_other(pairs: DataFrame, k: int = 1) -> DataFrame:

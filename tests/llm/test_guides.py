@@ -13,6 +13,7 @@ from sitewright.llm.forest import _close_in_run, close_codes, nearest_guides, tr
 from sitewright.llm.frequent import HeavyLight, frequent_items
 from sitewright.llm.splitting import best_cuts, split_oversized
 from sitewright.llm.termcounts import marked_terms, ngram_counts
+from sitewright.operators import offtarget
 
 
 def test_usable_guides(spark):
@@ -198,6 +199,21 @@ def test_nearest_sites(spark):
         assert sorted(found[i]) == near[:3]
 
 
+@pytest.mark.parametrize("join_first", [False, True])
+def test_every_site_has_its_nearest(spark, monkeypatch, join_first):
+    """However many letters they differ in."""
+    if join_first:
+        monkeypatch.setattr(offtarget, "_PAIR_COST", 0)
+        monkeypatch.setattr(offtarget, "_KEY_COST", 0)
+    guides = family(random.Random(6), 40)
+    found = defaultdict(list)
+    for x in nearest_guides(spark.createDataFrame([(i, coded(g)) for i, g in enumerate(guides)], "s bigint, c bigint"), "s", "c", k=3).collect():
+        found[x.site].append((x.distance, x.other))
+    for i, g in enumerate(guides):
+        assert sorted(found[i]) == sorted((differing(g, h), j) for j, h in enumerate(guides) if j != i)[:3]
+    assert max(d for x in found.values() for d, _ in x) > 4
+
+
 def test_many_sites_share_a_guide(spark):
     df = spark.createDataFrame([(i, 5) for i in range(400)] + [(1000, 4)], "s bigint, c bigint")
     rows = nearest_guides(df, "s", "c", k=4).collect()
