@@ -18,28 +18,30 @@ from sitewright.plans.stage import cut
 #: Guides and library guides that one group compares each with each.
 _WANTED, _LIBRARY = 2048, 65536
 #: What a pair met in the join, and a key made for it, cost beside a pair compared each with each.
-_PAIR_COST, _KEY_COST = 12, 400
+_PAIR_COST, _KEY_COST = 40, 1000
 
 
-def _choices(letters: int, differing: int, blocks: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each choice of blocks that ``differing`` letters can leave untouched: its number and the blocks' ranges."""
+def _blocks(letters: int, blocks: int) -> list[int]:
+    """For each block of letters the mask of its bits in a packed guide."""
     edges = [round(i * letters / blocks) for i in range(blocks + 1)]
-    ranges = list(zip(edges, edges[1:], strict=False))
-    return [(n, [ranges[b] for b in kept]) for n, kept in enumerate(combinations(range(blocks), blocks - differing))]
+    return [sum(3 << 2 * (letters - 1 - i) for i in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _mask(letters: int, kept: list[tuple[int, int]]) -> int:
-    return sum(3 << 2 * (letters - 1 - i) for a, b in kept for i in range(a, b))
-
-
-def _keyed(codes: DataFrame, masks: list[int]) -> DataFrame:
-    keys = F.array(*(F.struct(F.lit(n).alias("choice"), F.col("code").bitwiseAND(F.lit(m)).alias("part")) for n, m in enumerate(masks)))
+def _keyed(codes: DataFrame, masks: list[int], differing: int) -> DataFrame:
+    """A row for each choice of blocks that ``differing`` letters can leave untouched: the choice's blocks as bits, and the guide's letters there."""
+    kept = list(combinations(range(len(masks)), len(masks) - differing))
+    keys = F.array(*(F.struct(F.lit(sum(1 << b for b in some)).alias("choice"), F.col("code").bitwiseAND(F.lit(sum(masks[b] for b in some))).alias("part")) for some in kept))
     return codes.select("code", F.inline(keys))
 
 
-def _first_choice(x: Column, masks: list[int]) -> Column:
-    """The first choice whose letters two guides share, from their packed difference."""
-    return F.coalesce(*(F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(n)) for n, m in enumerate(masks)))
+def _first_choice(x: Column, masks: list[int], choice: Column) -> Column:
+    """Whether of all choices whose letters two guides share, known by their packed difference, this one has the first blocks.
+
+    A sum over the blocks, not over the many choices: longer conditions are never compiled to machine code.
+    """
+    equal = reduce(Column.__add__, (F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(1 << b)).otherwise(F.lit(0)) for b, m in enumerate(masks)))
+    others = equal - choice
+    return (others == 0) | (others.bitwiseAND(-others) > choice)
 
 
 def similar_guides(candidates: DataFrame, library: DataFrame, letters: int, within: int, blocks: int | None = None) -> DataFrame:
@@ -65,10 +67,10 @@ def _codes(df: DataFrame) -> DataFrame:
 def _similar_codes(wanted: DataFrame, library: DataFrame, letters: int, within: int, blocks: int | None = None) -> DataFrame:
     """``similar_guides`` of distinct packed guides: rows (code, other, distance)."""
     blocks = blocks or min(letters, within + 3)
-    masks = [_mask(letters, kept) for _, kept in _choices(letters, within, blocks)]
-    left, right = (_keyed(df, masks).withColumnRenamed("code", name) for df, name in ((wanted, "a"), (library, "b")))
+    masks = _blocks(letters, blocks)
+    left, right = (_keyed(df, masks, within).withColumnRenamed("code", name) for df, name in ((wanted, "a"), (library, "b")))
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = left.join(right, ["choice", "part"]).where((F.col("a") != F.col("b")) & (packed_hamming(F.col("a"), F.col("b")) <= within) & (_first_choice(differ, masks) == F.col("choice")))
+    pairs = left.join(right, ["choice", "part"]).where((F.col("a") != F.col("b")) & (packed_hamming(F.col("a"), F.col("b")) <= within) & _first_choice(differ, masks, F.col("choice")))
     return pairs.select(F.col("a").alias("code"), F.col("b").alias("other"), packed_hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
 
 
@@ -153,6 +155,13 @@ def nearest_codes(wanted: DataFrame, library: DataFrame, letters: int, k: int =
     return reduce(DataFrame.unionByName, found) if found else none
 
 
+def nearest_library_guide(candidates: DataFrame, library: DataFrame, letters: int) -> DataFrame:
+    """Rows (guide, other, distance): the nearest other library guide of every candidate, ties by its letters."""
+    near = nearest_codes(_codes(candidates), _codes(library), letters)
+    best = near.groupBy("code").agg(F.min(F.struct("distance", "other")).alias("best"))
+    return best.select(unpack(F.col("code"), letters).alias("guide"), unpack(F.col("best.other"), letters).alias("other"), F.col("best.distance").alias("distance"))
+
+
 def nearest_other(pairs: DataFrame, k: int = 1) -> DataFrame:
     """Of ``similar_guides``' rows the ``k`` nearest of each guide, ties by the other guide's letters, with their rank."""
     order = Window.partitionBy("guide").orderBy("distance", "other")
@@ -164,7 +173,8 @@ def specific_guides(candidates: DataFrame, library: DataFrame, letters: int, edi
 
     In ``hamming`` mode the answer is exact. In ``levenshtein`` mode the three nearest guides by letters that differ,
     of those within ``edit_distance - 1 + reach`` letters, must be at least ``edit_distance`` edits away. ``nearest`` is
-    the nearest other guide within that many letters, null if there is none. An edit distance of 0 keeps all.
+    the other guide that differs in the fewest letters, however many these are; null only where the library has no
+    other. An edit distance of 0 keeps all.
     """
     within = max(0, edit_distance - 1) + reach
     pairs = similar_guides(candidates, library, letters, within) if edit_distance else similar_guides(candidates, library, letters, 0)
@@ -172,7 +182,10 @@ def specific_guides(candidates: DataFrame, library: DataFrame, letters: int, edi
     edits = F.col("distance") if distance == "hamming" else F.levenshtein("guide", "other")
     close = top.groupBy("guide").agg(F.min(F.when(F.col("rank") == 1, F.struct("other", "distance"))).alias("nearest"), F.min(edits).alias("least"))
     found = candidates.select("guide").distinct().join(close, "guide", "left").where(F.col("least").isNull() | (F.col("least") >= edit_distance))
-    return found.select("guide", F.col("nearest.other").alias("nearest"), F.col("nearest.distance").alias("nearest_distance"))
+    found = cut(found.select("guide", F.col("nearest.other").alias("nearest"), F.col("nearest.distance").alias("nearest_distance")))
+    far = nearest_library_guide(found.where(F.col("nearest").isNull()), library, letters)
+    rest = found.where(F.col("nearest").isNull()).select("guide").join(far, "guide", "left")
+    return found.where(F.col("nearest").isNotNull()).unionByName(rest.select("guide", F.col("other").alias("nearest"), F.col("distance").alias("nearest_distance")))
 
 
 def mismatch_histogram(pairs: DataFrame, most: int) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewright.operators.genes import annotate_sites, gaps_between, numbered_zones, sites_in_zones
-from sitewright.operators.offtarget import mismatch_histogram, similar_guides, specific_guides
+from sitewright.operators.offtarget import mismatch_histogram, nearest_library_guide, similar_guides, specific_guides
 from sitewright.operators.sites import find_sites, guide_library, unique_guides
 from sitewright.params import SiteParams, expand, motif_list
 from sitewright.plans.pipeline import neutral_sites, numbered
@@ -99,6 +99,22 @@ def test_similar_guides_equal_brute_force(spark, within):
     assert kept == {a for a in some if all(not 0 < sum(x != y for x, y in zip(a, b, strict=True)) < within for b in guides)}
 
 
+def test_nearest_guide_at_any_distance(spark):
+    r = random.Random(8)
+    guides = sorted({"".join(r.choice("ACGT") for _ in range(20)) for _ in range(80)})
+    guides += [g[:-1] + ("A" if g[-1] != "A" else "C") for g in guides[:10]]
+    some = guides[:30]
+    df = lambda x: spark.createDataFrame([(g,) for g in x], "guide string")
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    want = {a: min((apart(a, b), b) for b in guides if b != a) for a in some}
+    assert {x.guide: (x.distance, x.other) for x in nearest_library_guide(df(some), df(guides), 20).collect()} == want
+    kept = specific_guides(df(some), df(guides), 20, 4).collect()
+    assert {x.guide: (x.nearest_distance, x.nearest) for x in kept} == {a: n for a, n in want.items() if n[0] >= 4}
+    assert len(kept) == 20 and max(x.nearest_distance for x in kept) > 4
+    alone = specific_guides(df(some[:1]), df(some[:1]), 20, 4).collect()
+    assert [(x.guide, x.nearest, x.nearest_distance) for x in alone] == [(some[0], None, None)]
+
+
 GENES = [("c", 100, 200, "+", "g1"), ("c", 300, 400, "-", "g2"), ("c", 500, 600, "-", "g3"), ("n", 100, 1000, "+", "a"), ("n", 200, 300, "+", "b"), ("n", 2000, 2100, "+", "d")]
 AROUND = {
     ("c", 250): ("g1", "g2", 100, "convergent"), ("c", 450): ("g2", "g3", 100, "tandem"), ("c", 50): (None, "g1", None, None), ("c", 700): ("g3", None, None, None),
