@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from sitewright.functions.scoring import RULE_INTERCEPT, RULE_LOW_GC, RULE_PAIR, RULE_SINGLE, rule_score
 from sitewright.functions.sequences import context_window, gc_percent, plain_letters, reported_location, self_complementarity
 from sitewright.operators.genes import annotate_sites, gaps_between, numbered_zones, sites_in_zones
-from sitewright.operators.offtarget import mismatch_histogram, nearest_other, similar_guides
+from sitewright.operators.offtarget import mismatch_histogram, nearest_library_guide, similar_guides
 from sitewright.operators.sites import find_sites, guide_library, unique_guides
 from sitewright.plans.genome import FEATURES_SQL, GENOME_SQL, HITS_SQL, PARAMS, SITES_SQL, features, genes, genome, hits
 from sitewright.plans.pipeline import arms_pass, candidate_sites, chromosome_names, guide_passes, neutral_sites, numbered
+from sitewright.plans.stage import cut
 from sitewright.sources.tables import table
 
 G, P = PARAMS.guide_length, len(PARAMS.pam)
@@ -96,7 +97,8 @@ def near_guides(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def nearest_guide(spark: SparkSession, directory: str) -> DataFrame:
-    return nearest_other(near_guides(spark, directory)).select("guide", "other", "distance")
+    library = cut(guide_library(_sites(spark, directory)))
+    return nearest_library_guide(unique_guides(library, PARAMS), library, G)
 
 
 def off_target_histogram(spark: SparkSession, directory: str) -> DataFrame:

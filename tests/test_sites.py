@@ -11,6 +11,7 @@ from sitewright.operators.genes import annotate_sites, gaps_between, numbered_zo
 from sitewright.operators.offtarget import mismatch_histogram, nearest_library_guide, similar_guides, specific_guides
 from sitewright.operators.sites import find_sites, guide_library, unique_guides
 from sitewright.params import SiteParams, expand, motif_list
+from sitewright.plans import site_queries
 from sitewright.plans.pipeline import neutral_sites, numbered
 
 SMALL = SiteParams(distal_end=50, intergenic_space=30, density_length=500, edit_distance=3)
@@ -115,6 +116,36 @@ def test_nearest_guide_at_any_distance(spark):
     assert [(x.guide, x.nearest, x.nearest_distance) for x in alone] == [(some[0], None, None)]
 
 
+def crowded_genome(spark):
+    """Sites whose guides differ in 1 to 7 letters."""
+    r = random.Random(3)
+    seq = ""
+    for base in ("".join(r.choice("ACT") for _ in range(20)) for _ in range(12)):
+        for most in range(8):
+            s = list(base)
+            for i in r.sample(range(20), most):
+                s[i] = r.choice("ACT")
+            seq += "".join(s) + "TGG"
+    return find_sites(spark.createDataFrame([("c", seq)], "accession string, seq string"), SMALL)
+
+
+def apart_in(sites):
+    """(guide, other): differing letters, of every candidate and every other library guide."""
+    library = [x.guide for x in guide_library(sites).collect()]
+    some = [x.guide for x in unique_guides(guide_library(sites), site_queries.PARAMS).collect()]
+    return {(a, b): sum(x != y for x, y in zip(a, b, strict=True)) for a in some for b in library if a != b}
+
+
+def test_nearest_guide_query_has_every_candidate(spark, monkeypatch):
+    sites = crowded_genome(spark)
+    monkeypatch.setattr(site_queries, "_sites", lambda *_: sites)
+    want = {}
+    for (a, b), d in apart_in(sites).items():
+        want[a] = min(want.get(a, (99, "")), (d, b))
+    assert {x.guide: (x.distance, x.other) for x in site_queries.nearest_guide(spark, "").collect()} == want
+    assert max(d for d, _ in want.values()) > 2
+
+
 GENES = [("c", 100, 200, "+", "g1"), ("c", 300, 400, "-", "g2"), ("c", 500, 600, "-", "g3"), ("n", 100, 1000, "+", "a"), ("n", 200, 300, "+", "b"), ("n", 2000, 2100, "+", "d")]
 AROUND = {
     ("c", 250): ("g1", "g2", 100, "convergent"), ("c", 450): ("g2", "g3", 100, "tandem"), ("c", 50): (None, "g1", None, None), ("c", 700): ("g3", None, None, None),
