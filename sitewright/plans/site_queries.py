@@ -20,7 +20,8 @@ from sitewright.sources.tables import table
 G, P = PARAMS.guide_length, len(PARAMS.pam)
 FILTERS = replace(PARAMS, re_guide="GAATTC,GGTCTC", gc_range=(30, 70), poly_g_guide=4, poly_t_guide=4)
 ARM_FILTERS = replace(PARAMS, re_arm="GAATTC,GGTCTC", poly_g_arm=5, poly_t_arm=5)
-NEAR = 2
+NEAR = 2  # of the SQL
+CLASSES = 5  # the histogram counts pairs that differ in 0 to so many letters
 _BASE = f"with {GENOME_SQL}, {SITES_SQL}"
 _FULL = f"with {GENOME_SQL}, {FEATURES_SQL}, {SITES_SQL}"
 
@@ -91,9 +92,13 @@ def distal_and_known(spark: SparkSession, directory: str) -> DataFrame:
     return kept.join(known, "accession", "left_semi").select("accession", "location", "strand", "pam")
 
 
+def _near(spark: SparkSession, directory: str, within: int) -> DataFrame:
+    library = cut(guide_library(_sites(spark, directory)))  # read twice, by the uniqueness rules and by the comparison
+    return similar_guides(unique_guides(library, PARAMS), library, G, within)
+
+
 def near_guides(spark: SparkSession, directory: str) -> DataFrame:
-    library = guide_library(_sites(spark, directory))
-    return similar_guides(unique_guides(library, PARAMS), library, G, NEAR)
+    return _near(spark, directory, PARAMS.edit_distance)
 
 
 def nearest_guide(spark: SparkSession, directory: str) -> DataFrame:
@@ -102,7 +107,7 @@ def nearest_guide(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def off_target_histogram(spark: SparkSession, directory: str) -> DataFrame:
-    return mismatch_histogram(near_guides(spark, directory), NEAR)
+    return mismatch_histogram(_near(spark, directory, CLASSES), CLASSES)
 
 
 def rule_scores(spark: SparkSession, directory: str) -> DataFrame:

@@ -146,6 +146,17 @@ def test_nearest_guide_query_has_every_candidate(spark, monkeypatch):
     assert max(d for d, _ in want.values()) > 2
 
 
+def test_histogram_and_similar_guides_reach_all_classes(spark, monkeypatch):
+    sites = crowded_genome(spark)
+    monkeypatch.setattr(site_queries, "_sites", lambda *_: sites)
+    apart = apart_in(sites)
+    want = {k: sum(d == k for d in apart.values()) for k in range(6)}
+    assert {x.distance: x.pairs for x in site_queries.off_target_histogram(spark, "").collect()} == want
+    assert want[3] and want[4] and want[5]
+    rows = {(x.guide, x.other): x.distance for x in site_queries.near_guides(spark, "").collect()}
+    assert rows == {k: d for k, d in apart.items() if d <= 4}
+
+
 GENES = [("c", 100, 200, "+", "g1"), ("c", 300, 400, "-", "g2"), ("c", 500, 600, "-", "g3"), ("n", 100, 1000, "+", "a"), ("n", 200, 300, "+", "b"), ("n", 2000, 2100, "+", "d")]
 AROUND = {
     ("c", 250): ("g1", "g2", 100, "convergent"), ("c", 450): ("g2", "g3", 100, "tandem"), ("c", 50): (None, "g1", None, None), ("c", 700): ("g3", None, None, None),
