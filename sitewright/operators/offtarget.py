@@ -70,7 +70,8 @@ def _similar_codes(wanted: DataFrame, library: DataFrame, letters: int, within:
     masks = _blocks(letters, blocks)
     left, right = (_keyed(df, masks, within).withColumnRenamed("code", name) for df, name in ((wanted, "a"), (library, "b")))
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = left.join(right, ["choice", "part"]).where((F.col("a") != F.col("b")) & (packed_hamming(F.col("a"), F.col("b")) <= within) & _first_choice(differ, masks, F.col("choice")))
+    # the keys are many more than the plan's estimate, which would have them broadcast
+    pairs = left.join(right.hint("merge"), ["choice", "part"]).where((F.col("a") != F.col("b")) & (packed_hamming(F.col("a"), F.col("b")) <= within) & _first_choice(differ, masks, F.col("choice")))
     return pairs.select(F.col("a").alias("code"), F.col("b").alias("other"), packed_hamming(F.col("a"), F.col("b")).cast("int").alias("distance"))
 
 
@@ -148,8 +149,8 @@ def nearest_codes(wanted: DataFrame, library: DataFrame, letters: int, k: int =
             break
         near = cut(_first_with_ties(_similar_codes(wanted, library, letters, within), k))
         whole = near.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("code")
-        found.append(near.join(whole, "code", "left_semi"))
-        wanted = cut(wanted.join(whole, "code", "left_anti").repartition(parts, "code"))
+        found.append(near.join(whole.hint("merge"), "code", "left_semi"))
+        wanted = cut(wanted.join(whole.hint("merge"), "code", "left_anti").repartition(parts, "code"))
         n, within = wanted.count(), within + 1
     none = wanted.select("code", F.col("code").alias("other"), F.lit(0).alias("distance")).limit(0)
     return reduce(DataFrame.unionByName, found) if found else none
@@ -181,10 +182,10 @@ def specific_guides(candidates: DataFrame, library: DataFrame, letters: int, edi
     top = nearest_other(pairs, 3)
     edits = F.col("distance") if distance == "hamming" else F.levenshtein("guide", "other")
     close = top.groupBy("guide").agg(F.min(F.when(F.col("rank") == 1, F.struct("other", "distance"))).alias("nearest"), F.min(edits).alias("least"))
-    found = candidates.select("guide").distinct().join(close, "guide", "left").where(F.col("least").isNull() | (F.col("least") >= edit_distance))
+    found = candidates.select("guide").distinct().join(close.hint("merge"), "guide", "left").where(F.col("least").isNull() | (F.col("least") >= edit_distance))
     found = cut(found.select("guide", F.col("nearest.other").alias("nearest"), F.col("nearest.distance").alias("nearest_distance")))
     far = nearest_library_guide(found.where(F.col("nearest").isNull()), library, letters)
-    rest = found.where(F.col("nearest").isNull()).select("guide").join(far, "guide", "left")
+    rest = found.where(F.col("nearest").isNull()).select("guide").join(far.hint("merge"), "guide", "left")
     return found.where(F.col("nearest").isNotNull()).unionByName(rest.select("guide", F.col("other").alias("nearest"), F.col("distance").alias("nearest_distance")))
 
 
