@@ -56,8 +56,8 @@ class SiteParams:
     def check(self) -> SiteParams:
         if self.orientation not in ("3prime", "5prime"):
             raise ValueError("orientation must be 3prime or 5prime")
-        if not 10 <= self.guide_length <= 31:
-            raise ValueError("guide_length must be 10 to 31")
+        if not 10 <= self.guide_length <= 40:
+            raise ValueError("guide_length must be 10 to 40")
         if self.seed_length >= self.guide_length:
             raise ValueError("seed_length must be below guide_length")
         if self.gc_range[0] < 0 or self.gc_range[1] > 100:

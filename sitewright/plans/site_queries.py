@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitewright.functions.scoring import RULE_INTERCEPT, RULE_LOW_GC, RULE_PAIR, RULE_SINGLE, rule_score
 from sitewright.functions.sequences import context_window, gc_percent, plain_letters, reported_location, self_complementarity
 from sitewright.operators.genes import annotate_sites, gaps_between, numbered_zones, sites_in_zones
-from sitewright.operators.offtarget import mismatch_histogram, nearest_library_guide, similar_guides
+from sitewright.operators.offtarget import mismatch_counts, nearest_guides, similar_guides
 from sitewright.operators.sites import find_sites, guide_library, unique_guides
 from sitewright.plans.genome import FEATURES_SQL, GENOME_SQL, HITS_SQL, PARAMS, SITES_SQL, features, genes, genome, hits
 from sitewright.plans.pipeline import arms_pass, candidate_sites, chromosome_names, guide_passes, neutral_sites, numbered
@@ -20,8 +20,7 @@ from sitewright.sources.tables import table
 G, P = PARAMS.guide_length, len(PARAMS.pam)
 FILTERS = replace(PARAMS, re_guide="GAATTC,GGTCTC", gc_range=(30, 70), poly_g_guide=4, poly_t_guide=4)
 ARM_FILTERS = replace(PARAMS, re_arm="GAATTC,GGTCTC", poly_g_arm=5, poly_t_arm=5)
-NEAR = 2  # of the SQL
-CLASSES = 5  # the histogram counts pairs that differ in 0 to so many letters
+CLASSES = 5  # off-targets are counted up to so many differing letters
 _BASE = f"with {GENOME_SQL}, {SITES_SQL}"
 _FULL = f"with {GENOME_SQL}, {FEATURES_SQL}, {SITES_SQL}"
 
@@ -92,22 +91,21 @@ def distal_and_known(spark: SparkSession, directory: str) -> DataFrame:
     return kept.join(known, "accession", "left_semi").select("accession", "location", "strand", "pam")
 
 
-def _near(spark: SparkSession, directory: str, within: int) -> DataFrame:
+def _compared(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     library = cut(guide_library(_sites(spark, directory)))  # read twice, by the uniqueness rules and by the comparison
-    return similar_guides(unique_guides(library, PARAMS), library, G, within)
+    return unique_guides(library, PARAMS), library
 
 
 def near_guides(spark: SparkSession, directory: str) -> DataFrame:
-    return _near(spark, directory, PARAMS.edit_distance)
+    return similar_guides(*_compared(spark, directory), G, PARAMS.edit_distance)
 
 
-def nearest_guide(spark: SparkSession, directory: str) -> DataFrame:
-    library = cut(guide_library(_sites(spark, directory)))
-    return nearest_library_guide(unique_guides(library, PARAMS), library, G)
+def three_nearest(spark: SparkSession, directory: str) -> DataFrame:
+    return nearest_guides(*_compared(spark, directory), G, 3)
 
 
-def off_target_histogram(spark: SparkSession, directory: str) -> DataFrame:
-    return mismatch_histogram(_near(spark, directory, CLASSES), CLASSES)
+def off_target_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return mismatch_counts(*_compared(spark, directory), G, CLASSES)
 
 
 def rule_scores(spark: SparkSession, directory: str) -> DataFrame:
@@ -180,24 +178,46 @@ o as (select accession, min(feature_row) as first_row from features group by acc
 zones as (select z.accession, cast(low as bigint) as low, cast(high as bigint) as high, row_number() over (order by first_row nulls last, z.accession, i) as zone from z left join o on o.accession = z.accession)"""
 
 
-def _near_sql(within: int, left: str) -> str:
-    """Pairs (guide, other, distance) within so many letters: such guides share one of ``within`` + 1 blocks."""
+_FAR = 1 << 2 * G  # above any packed guide
+_DIFFER = "bit_count((xor(a.code, b.code) | (xor(a.code, b.code) >> 1)) & 6148914691236517205)"
+
+
+def _packed_sql(left: str) -> str:
+    """The library (known) and the guides of ``left`` (asked), with their letters as a number, two bits each."""
+    code = f"cast(list_sum([cast(strpos('CGT', substr(guide, i, 1)) as bigint) << 2 * ({G} - i) for i in range(1, {G + 1})]) as bigint) as code"
+    return f"known as materialized (select guide, {code} from library), asked as materialized (select guide, {code} from {left})"
+
+
+def _near_sql(within: int) -> str:
+    """Pairs (a, b, distance) of asked and known guides within so many letters: such guides share one of ``within`` + 1 blocks."""
     edges = [round(i * G / (within + 1)) for i in range(within + 2)]
+    block = lambda a, b: f"(({{}}.code >> {2 * (G - b)}) & {(1 << 2 * (b - a)) - 1})"
     parts = " union ".join(
-        f"select a.guide, b.guide as other, cast(hamming(a.guide, b.guide) as integer) as distance from {left} a join library b on substr(a.guide, {a + 1}, {b - a}) = substr(b.guide, {a + 1}, {b - a}) where a.guide <> b.guide and hamming(a.guide, b.guide) <= {within}"
-        for a, b in zip(edges, edges[1:], strict=False)
+        f"select a.code as a, b.code as b, cast({_DIFFER} as integer) as distance from asked a join known b on {block(x, y).format('a')} = {block(x, y).format('b')} where a.code <> b.code and {_DIFFER} <= {within}"
+        for x, y in zip(edges, edges[1:], strict=False)
     )
-    return f"near as ({parts})"
+    return f"near as materialized ({parts})"
+
+
+def _nearest_sql(left: str, k: int) -> str:
+    """Rows (guide, other, distance, rank), the ``k`` nearest of every asked guide: those with so many within 6 letters,
+    by blocks, or else within 8 have them there, the others are compared with the whole library."""
+    top = lambda name, pairs: f"{name} as materialized (select a, min(distance * {_FAR} + b, {k}) as top from {pairs} group by a having count(*) >= {k})"
+    rest = lambda done, more: f"(select a.code as a, b.code as b, cast({_DIFFER} as bigint) as distance from asked a join known b on a.code <> b.code{more} where a.code not in (select a from {done}))"
+    return f"""{_packed_sql(left)}, {_near_sql(6)},
+{top('six', 'near')}, {top('eight', rest('six', f' and {_DIFFER} <= 8'))}, both_tiers as (select * from six union all select * from eight),
+others as (select a, min(distance * {_FAR} + b, {k}) as top from {rest('both_tiers', '')} group by a),
+tops as (select a, unnest(top) as t, generate_subscripts(top, 1) as rank from (select * from both_tiers union all select * from others)),
+nearest as (select x.guide, y.guide as other, cast(t // {_FAR} as integer) as distance, cast(rank as integer) as rank from tops join asked x on x.code = a join known y on y.code = t % {_FAR})"""
 
 
-_NEAR = f"{_BASE}, {_near_sql(NEAR, 'candidates')}"
+_ASKED = f"{_BASE}, {_packed_sql('candidates')}"
 _RESULT = f"""{_FLANKS.replace('select p.accession, p.location, p.strand, a.tag', ', flanks as (select p.accession, p.location, p.strand, p.pam, a.tag')}),
 names as (select accession, arg_min(name, feature_row) as name from features where accession is not null group by accession),
 kept as (select c.*, n.name from cand c join names n on n.accession = c.accession where location >= {PARAMS.distal_end} and location <= chrom_length - {PARAMS.distal_end} and {_FREE}),
 dense as (select c.accession, c.location, c.strand, c.pam, case when max(e.n_genes) is not null then cast(count(g.start) as integer) end as gene_density from kept c left join ends e on e.accession = c.accession
           left join genes g on g.accession = c.accession and g.start > greatest(0, c.x - {_W}) and g.stop < least(c.chrom_length, c.x + {_W}) group by c.accession, c.location, c.strand, c.pam),
-wanted as (select distinct guide from kept), {_near_sql(PARAMS.edit_distance, 'wanted')},
-nearest as (select guide, arg_min(other, (distance, other)) as other, min(distance) as distance from near group by guide),
+wanted as (select distinct guide from kept), {_nearest_sql('wanted', 1)},
 good as (select k.*, n.other, n.distance from kept k left join nearest n on n.guide = k.guide where n.distance is null or n.distance >= {PARAMS.edit_distance}),
 scored as (select *, {_WINDOW} as w from good),
 result as (select k.guide as guide_sequence, k.pam, k.accession, 100.0 * length(regexp_replace(k.guide, '[^GCS]', '', 'g')) / length(k.guide) as gc_content,
@@ -217,7 +237,7 @@ def _bad(text: str, motifs: str) -> str:
 QUERIES = {
     "s1_genome_records": genome_records, "s3_feature_table": feature_table, "s5_good_hits": good_hits, "g2_site_scan": site_scan, "a1_guide_library": library_counts, "flt_p2p6_unique_guides": unique_candidates,
     "flt_p3p4p5_guides": filtered_guides, "f16_homology_arms": arms, "flt_p9p10_arms": filtered_arms, "w1_flanking_genes": flanking_genes, "flt_p8_intergenic": intergenic_sites, "a3_gene_density": gene_density,
-    "j7_chromosome_names": chromosome_lookup, "flt_p12p13_distal": distal_and_known, "j3_similar_guides": near_guides, "o4_nearest_guide": nearest_guide, "a5_mismatch_histogram": off_target_histogram,
+    "j7_chromosome_names": chromosome_lookup, "flt_p12p13_distal": distal_and_known, "j3_similar_guides": near_guides, "o4_three_nearest": three_nearest, "a5_mismatch_counts": off_target_classes,
     "m1_rule_scores": rule_scores, "f7_self_complementarity": self_complements, "j9_essential_genes": essential_genes, "w2w5_essential_zones": essential_zones, "j11_zoned_sites": zoned_sites, "result_neutral_sites": result_table,
 }
 SQL = {
@@ -236,9 +256,8 @@ SQL = {
         left join genes g on g.accession = c.accession and g.start > greatest(0, c.x - {_W}) and g.stop < least(c.chrom_length, c.x + {_W}) group by c.accession, c.location, c.strand, c.pam""",
     "j7_chromosome_names": f"with {FEATURES_SQL} select accession, arg_min(name, feature_row) as name from features where accession is not null group by accession",
     "flt_p12p13_distal": f"{_FULL} select accession, location, strand, pam from sites where location >= {PARAMS.distal_end} and location <= chrom_length - {PARAMS.distal_end} and accession in (select accession from features)",
-    "j3_similar_guides": f"{_NEAR} select guide, other, distance from near",
-    "o4_nearest_guide": f"{_NEAR} select guide, arg_min(other, (distance, other)) as other, min(distance) as distance from near group by guide",
-    "a5_mismatch_histogram": f"{_NEAR} select cast(d.range as integer) as distance, count(near.distance) as pairs from range({NEAR + 1}) d left join near on near.distance = d.range group by d.range",
+    "j3_similar_guides": f"{_ASKED}, {_near_sql(PARAMS.edit_distance)} select x.guide, y.guide as other, distance from near join asked x on x.code = a join known y on y.code = b",
+    "a5_mismatch_counts": f"{_ASKED}, {_near_sql(CLASSES)}, n as (select a, " + ", ".join(f"count(*) filter (distance = {d}) as n{d}" for d in range(1, CLASSES + 1)) + " from near group by a) select guide, cast(1 as bigint) as mm0, " + ", ".join(f"coalesce(n{d}, 0) as mm{d}" for d in range(1, CLASSES + 1)) + " from asked left join n on a = code",
     "result_neutral_sites": _RESULT,
     "m1_rule_scores": f"{_BASE}, w as (select *, {_WINDOW} as w from sites where left_arm is not null and right_arm is not null) select accession, location, strand, pam, w as window, round(1 / (1 + exp(-({RULE_INTERCEPT} + {RULE_LOW_GC} + {_RULES}))), 9) as score from w",
     "f7_self_complementarity": f"""{_BASE} select guide, cast(len([j for j in range(0, {G - 4}) if regexp_matches(substr(guide, j + 1, 4), '[GCS]') and contains(substr({_RC}, 1, {G - 5} - j), substr(guide, j + 1, 4))]) as integer) as stems,

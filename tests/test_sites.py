@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewright.operators.genes import annotate_sites, gaps_between, numbered_zones, sites_in_zones
-from sitewright.operators.offtarget import mismatch_histogram, nearest_library_guide, similar_guides, specific_guides
+from sitewright.operators import offtarget
+from sitewright.operators.offtarget import best_blocks, histogram_over_runs, mismatch_counts, nearest_guides, nearest_library_guide, similar_guides, specific_guides
 from sitewright.operators.sites import find_sites, guide_library, unique_guides
 from sitewright.params import SiteParams, expand, motif_list
 from sitewright.plans import site_queries
@@ -66,7 +67,7 @@ def test_parameters():
     assert expand("NGG") == ["AGG", "CGG", "GGG", "TGG"]
     assert expand("TTTV") == ["TTTA", "TTTC", "TTTG"] and expand("RY") == ["AC", "GC", "AT", "GT"]
     assert motif_list("GAATTC,") == [] and motif_list("") == [] and motif_list("RG, CC") == ["AG", "GG", "CC"]
-    for bad in ({"seed_length": 20}, {"gc_range": (-1, 50)}, {"gc_range": (0, 101)}, {"distal_end": 10}, {"orientation": "up"}, {"guide_length": 40}, {"distance": "x"}):
+    for bad in ({"seed_length": 20}, {"gc_range": (-1, 50)}, {"gc_range": (0, 101)}, {"distal_end": 10}, {"orientation": "up"}, {"guide_length": 41}, {"distance": "x"}):
         with pytest.raises(ValueError):
             replace(SiteParams(), **bad).check()
 
@@ -94,8 +95,6 @@ def test_similar_guides_equal_brute_force(spark, within):
     want = {(a, b, d) for a in some for b in guides if 0 < (d := sum(x != y for x, y in zip(a, b, strict=True))) <= within}
     rows = [tuple(x) for x in pairs.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
-    histogram = {x.distance: x.pairs for x in mismatch_histogram(pairs, within).collect()}
-    assert sum(histogram.values()) == len(want) and histogram[0] == 0
     kept = {x.guide for x in specific_guides(df(some).dropna(), df(guides), 20, within).collect()}
     assert kept == {a for a in some if all(not 0 < sum(x != y for x, y in zip(a, b, strict=True)) < within for b in guides)}
 
@@ -116,6 +115,61 @@ def test_nearest_guide_at_any_distance(spark):
     assert [(x.guide, x.nearest, x.nearest_distance) for x in alone] == [(some[0], None, None)]
 
 
+@pytest.mark.parametrize("blocks", [2, 3, 5, 8])
+def test_hot_keys_are_dealt(spark, monkeypatch, blocks):
+    """A third of all guides share most letters; their keys go to several groups, and no pair is lost or doubled."""
+    for name, size in (("WANTED_A_GROUP", 4), ("LIBRARY_A_GROUP", 16), ("COUNTED", 1), ("_LARGE", 30), ("_AT_ONCE", 50)):
+        monkeypatch.setattr(offtarget, name, size)
+    r = random.Random(4)
+    guides = sorted({"A" * 14 + "".join(r.choice("ACGT") for _ in range(6)) for _ in range(80)} | {"".join(r.choice("ACGT") for _ in range(20)) for _ in range(160)})
+    df = spark.createDataFrame([(g,) for g in guides], "guide string")
+    apart = {(a, b): sum(x != y for x, y in zip(a, b, strict=True)) for a in guides for b in guides if a != b}
+    rows = [tuple(x) for x in similar_guides(df, df, 20, 2, blocks).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(*k, d) for k, d in apart.items() if d <= 2}
+    near = {(x.guide, x.rank): (x.distance, x.other) for x in nearest_guides(df, df, 20, 2).collect()}
+    for g in guides:
+        assert [near[g, 1], near[g, 2]] == sorted((apart[g, b], b) for b in guides if b != g)[:2]
+
+
+@pytest.mark.parametrize("letters", [32, 40])
+def test_long_guides(spark, letters):
+    r = random.Random(letters)
+    guides = ["".join(r.choice("ACGT") for _ in range(letters)) for _ in range(30)]
+    guides = sorted({*guides, *(g[:-2] + "AC" for g in guides), *("T" + g[1:] for g in guides)})
+    df = spark.createDataFrame([(g,) for g in guides], "guide string")
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    assert {tuple(x) for x in similar_guides(df, df, letters, 3).collect()} == {(a, b, apart(a, b)) for a in guides for b in guides if 0 < apart(a, b) <= 3}
+
+
+def test_keys_grow_with_the_library():
+    lengths = [20 * (1 - 3 / best_blocks(20, 3, n, n)[0]) for n in (10**3, 10**5, 10**7, 10**9)]
+    assert lengths == sorted(lengths) and lengths[-1] >= 8 and lengths[0] <= 5
+
+
+def test_few_edits_but_many_mismatches(spark):
+    """The three guides that differ in the fewest letters are edited, however many letters these are."""
+    shifted = "CGTTGACATCGGATTACGAT"
+    near = shifted[1:] + "G"  # two edits, nearly all letters differ
+    df = lambda x: spark.createDataFrame([(g,) for g in x], "guide string")
+    apart = sum(x != y for x, y in zip(shifted, near, strict=True))
+    assert apart > 10
+    assert specific_guides(df([shifted]), df([shifted, near]), 20, 4, "levenshtein").collect() == []
+    kept = specific_guides(df([shifted]), df([shifted, near]), 20, 4).collect()
+    assert [(x.nearest, x.nearest_distance) for x in kept] == [(near, apart)]
+
+
+def test_mismatch_counts_over_runs(spark):
+    library = ["A" * 20, "C" + "A" * 19, "CC" + "A" * 18, "G" * 20]
+    rows = [("r1", library[0]), ("r1", library[3]), ("r2", library[0]), ("r2", None)]
+    runs = spark.createDataFrame(rows, "run string, guide string")
+    counts = mismatch_counts(runs, spark.createDataFrame([(g,) for g in library], "guide string"), 20)
+    assert {(x.run, x.guide): [x[f"mm{d}"] for d in range(6)] for x in counts.collect()} == {
+        ("r1", "A" * 20): [1, 1, 1, 0, 0, 0], ("r1", "G" * 20): [1, 0, 0, 0, 0, 0], ("r2", "A" * 20): [1, 1, 1, 0, 0, 0], ("r2", None): [None] * 6,
+    }
+    found = {x.mismatches: (x["mean"], x.deviation) for x in histogram_over_runs(counts, "run").collect()}
+    assert found == {0: (0, 0), 1: (1, 0), 2: (1, 0), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def crowded_genome(spark):
     """Sites whose guides differ in 1 to 7 letters."""
     r = random.Random(3)
@@ -141,18 +195,20 @@ def test_nearest_guide_query_has_every_candidate(spark, monkeypatch):
     monkeypatch.setattr(site_queries, "_sites", lambda *_: sites)
     want = {}
     for (a, b), d in apart_in(sites).items():
-        want[a] = min(want.get(a, (99, "")), (d, b))
-    assert {x.guide: (x.distance, x.other) for x in site_queries.nearest_guide(spark, "").collect()} == want
-    assert max(d for d, _ in want.values()) > 2
+        want.setdefault(a, []).append((d, b))
+    found = {(x.guide, x.rank): (x.distance, x.other) for x in site_queries.three_nearest(spark, "").collect()}
+    assert found == {(a, n + 1): x for a, near in want.items() for n, x in enumerate(sorted(near)[:3])}
+    assert max(d for d, _ in found.values()) > 2
 
 
-def test_histogram_and_similar_guides_reach_all_classes(spark, monkeypatch):
+def test_counts_and_similar_guides_reach_all_classes(spark, monkeypatch):
     sites = crowded_genome(spark)
     monkeypatch.setattr(site_queries, "_sites", lambda *_: sites)
     apart = apart_in(sites)
-    want = {k: sum(d == k for d in apart.values()) for k in range(6)}
-    assert {x.distance: x.pairs for x in site_queries.off_target_histogram(spark, "").collect()} == want
-    assert want[3] and want[4] and want[5]
+    some = {a for a, _ in apart}
+    want = {a: [1, *(sum(d == k for (x, _), d in apart.items() if x == a) for k in range(1, 6))] for a in some}
+    assert {x.guide: [x[f"mm{d}"] for d in range(6)] for x in site_queries.off_target_classes(spark, "").collect()} == want
+    assert all(any(w[k] for w in want.values()) for k in range(6))
     rows = {(x.guide, x.other): x.distance for x in site_queries.near_guides(spark, "").collect()}
     assert rows == {k: d for k, d in apart.items() if d <= 4}
 
