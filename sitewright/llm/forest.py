@@ -7,39 +7,42 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sitewright.functions.guides import GUIDE_LETTERS
-from sitewright.operators.offtarget import nearest_codes
+from sitewright.functions.guides import GUIDE_LETTERS, pack, unpack
+from sitewright.operators import offtarget
+from sitewright.plans.stage import cut
 
-BLOCKS = 5
-_BITS = 2 * GUIDE_LETTERS // BLOCKS
-_PAIRS = "left bigint, right bigint, distance int"
-_CROWD = 2048
+BLOCKS, COVERED = 5, 2
+#: Trees whose prefixes cover every choice of ``COVERED`` differing letters, and further ones with letters in any order.
+COVERING_TREES, FREE_TREES = 10, 6
+#: A tree has enough candidates for a guide once so many share the prefix; all trees ascend until half of them have.
+SHARE = 64
+#: Rows of the sorted arrays that one group holds, and how far a guide looks to either side.
+BLOCK, REACH = 32_768, 2048
+_PAIRS_AT_ONCE = 1 << 20
+_CROWDED = -1
 
 
-def tree_orders(max_distance: int) -> list[tuple[int, ...]]:
-    """For each tree the order in which it hashes the blocks of letters.
+def tree_orders(seed: int = 1) -> list[list[int]]:
+    """For each tree the order of a guide's letters in its hash string.
 
-    Every choice of the blocks that ``max_distance`` differing letters can leave untouched comes first in one tree, so
-    two guides that close share that tree's hash prefix.
+    Two guides that differ in at most ``COVERED`` letters share three of five blocks of letters; every such choice comes
+    first, its letters mixed, in one of the covering trees.
     """
-    same = BLOCKS - max_distance
-    return [(*kept, *(b for b in range(BLOCKS) if b not in kept)) for kept in combinations(range(BLOCKS), same)]
+    r = np.random.default_rng(seed)
+    size = GUIDE_LETTERS // BLOCKS
+    orders = []
+    for kept in combinations(range(BLOCKS), BLOCKS - COVERED):
+        first = [size * b + i for b in kept for i in range(size)]
+        rest = [i for i in range(GUIDE_LETTERS) if i not in first]
+        orders.append([*r.permutation(first).tolist(), *r.permutation(rest).tolist()])
+    return orders + [r.permutation(GUIDE_LETTERS).tolist() for _ in range(FREE_TREES)]
 
 
-def _hash_string(code: Column, order: tuple[int, ...]) -> Column:
-    """The packed guide with its blocks in the tree's order."""
-    parts = []
-    for place, block in enumerate(order):
-        value = F.shiftright(code, _BITS * (BLOCKS - 1 - block)).bitwiseAND(F.lit((1 << _BITS) - 1))
-        parts.append(F.shiftleft(value, _BITS * (BLOCKS - 1 - place)))
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.bitwiseOR(part)
-    return total
+SURE_PREFIX = GUIDE_LETTERS - COVERED * GUIDE_LETTERS // BLOCKS  # letters that a covering tree has first
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,129 +50,209 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | (x >> 1)) & 0x5555555555555555)
 
 
-def _close_in_run(codes: np.ndarray, hashes: np.ndarray, starts: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of one prefix run (``starts``: its number for each row) at most ``max_distance`` apart.
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Letters of the longest common prefix of two hash strings."""
+    x = (a ^ b).astype(np.float64)  # whole numbers below 2 ** 40 keep their highest bit
+    return np.where(x > 0, GUIDE_LETTERS - 1 - (np.frexp(x)[1] - 1) // 2, GUIDE_LETTERS)
 
-    Ascends from each row to its neighbours in the sorted array, one step further for all rows at a time, while the
-    prefix is shared. Of a crowded run, the rest of the hash string is cut into one piece more than may differ, and only
-    rows that share a piece are compared.
-    """
-    left, right = [], []
-    size = np.bincount(starts)[starts] if len(starts) else starts
-    small = np.flatnonzero(size <= _CROWD)
-    step = 1
-    active = small[:-1] if len(small) else small
-    while len(active):
-        active = active[active + step < len(codes)]
-        active = active[starts[active] == starts[active + step]]
-        near = active[_distance(codes[active], codes[active + step]) <= max_distance]
-        left.append(near)
-        right.append(near + step)
-        step += 1
-    for run in np.unique(starts[size > _CROWD]):
-        at = np.flatnonzero(starts == run)
-        tail = GUIDE_LETTERS // BLOCKS * max_distance  # letters after the shared prefix
-        cuts = np.linspace(0, tail, max_distance + 2).astype(int)
-        for piece, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            value = (hashes[at] >> int(2 * (tail - b))) & ((1 << int(2 * (b - a))) - 1)
-            for v in np.unique(value):
-                rows = at[value == v]
-                for i in range(len(rows) - 1):
-                    others = rows[i + 1 :]
-                    near = others[_distance(codes[rows[i]], codes[others]) <= max_distance]
-                    for a2, b2 in zip(cuts[:piece], cuts[1 : piece + 1], strict=True):  # an earlier piece has it
-                        shift, mask = int(2 * (tail - b2)), (1 << int(2 * (b2 - a2))) - 1
-                        near = near[((hashes[near] >> shift) & mask) != ((hashes[rows[i]] >> shift) & mask)]
-                    left.append(np.full(len(near), rows[i]))
-                    right.append(near)
-    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return join(left).astype(np.int64), join(right).astype(np.int64)
-
-
-def _first_tree(a: np.ndarray, b: np.ndarray, orders: list[tuple[int, ...]], same: int) -> np.ndarray:
-    """The first tree in which the two guides share the prefix."""
-    x = a ^ b
-    equal = [(x >> (_BITS * (BLOCKS - 1 - block))) & ((1 << _BITS) - 1) == 0 for block in range(BLOCKS)]
-    first = np.full(len(a), len(orders))
-    for tree in range(len(orders) - 1, -1, -1):
-        first[np.logical_and.reduce([equal[block] for block in orders[tree][:same]])] = tree
-    return first
-
-
-def _search(max_distance: int):
-    orders = tree_orders(max_distance)
-    same = BLOCKS - max_distance
-    drop = _BITS * max_distance
-
-    def pairs(tree: np.ndarray, hashes: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        prefix = hashes >> drop
-        new = np.ones(len(codes), bool)
-        new[1:] = (prefix[1:] != prefix[:-1]) | (tree[1:] != tree[:-1])
-        i, j = _close_in_run(codes, hashes, np.cumsum(new) - 1, max_distance)
-        once = _first_tree(codes[i], codes[j], orders, same) == tree[i]
-        i, j = i[once], j[once]
-        return pa.RecordBatch.from_pydict({"left": codes[i], "right": codes[j], "distance": _distance(codes[i], codes[j]).astype(np.int32)})
+
+def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash string of each guide in each tree."""
+    orders = tree_orders()
+    for batch in batches:
+        codes = batch.column("code").to_numpy()
+        letters = [codes >> 2 * (GUIDE_LETTERS - 1 - i) & 3 for i in range(GUIDE_LETTERS)]
+        for tree, order in enumerate(orders):
+            value = np.zeros(len(codes), np.int64)
+            for i in order:
+                value = value << 2 | letters[i]
+            yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(len(codes), tree, np.int32)), "hash": pa.array(value), "code": pa.array(codes)})
+
+
+def _neighbour_prefixes(tree: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Letters that each row shares with the row before it; -1 at the first row and between trees."""
+    out = np.full(len(hashes), -1)
+    out[1:] = np.where(tree[1:] == tree[:-1], _shared(hashes[1:], hashes[:-1]), -1)
+    return out
+
+
+def _runs(prefixes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the ends [begin, end) of the rows around it that share ``level`` letters."""
+    begin = np.flatnonzero(prefixes < level)
+    number = np.cumsum(prefixes < level) - 1
+    return begin[number], np.r_[begin[1:], len(prefixes)][number]
+
+
+def _descend(share: int, k: int):
+    """For each row of the sorted arrays the longest prefix that ``share`` others share with it, and a bound on the
+    distance of its ``k``-th neighbour, from the rows next to it."""
+
+    def level_of(tree: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        prefixes = _neighbour_prefixes(tree, hashes)
+        level = np.full(len(hashes), -1)
+        for x in range(GUIDE_LETTERS, -1, -1):
+            begin, end = _runs(prefixes, x)
+            level[(level < 0) & (end - begin > share)] = x
+        near = np.full((2 * k, len(hashes)), GUIDE_LETTERS, np.uint8)
+        for step in range(1, min(k, len(hashes) - 1) + 1):
+            apart = np.where(tree[step:] == tree[:-step], _distance(hashes[step:], hashes[:-step]), GUIDE_LETTERS)
+            near[step - 1, step:], near[k + step - 1, :-step] = apart, apart
+        return np.maximum(level, 0), np.partition(near, k - 1, axis=0)[k - 1]
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        level, bound = level_of(*(rows.column(c).to_numpy() for c in ("tree", "hash")))
+        columns = {c: rows.column(c).combine_chunks() for c in ("at", "tree", "hash", "code")}
+        return pa.RecordBatch.from_pydict(columns | {"level": pa.array(level.astype(np.int32)), "bound": pa.array(bound.astype(np.int32))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:  # prefixes at a seam only come out shorter
+                yield told(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield told(held)
+
+    return run
+
+
+def _ascend(k: int):
+    """Of the guides that share a row's prefix of its level the nearest, at most as far as its bound."""
+
+    def pairs(at: np.ndarray, tree: np.ndarray, hashes: np.ndarray, codes: np.ndarray, level: np.ndarray, bound: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        prefixes = _neighbour_prefixes(tree, hashes)
+        begin, end = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for x in np.unique(level[own]):
+            some = own & (level == x)
+            a, b = _runs(prefixes, int(x))
+            begin[some], end[some] = a[some], b[some]
+        rows = np.flatnonzero(own)
+        crowded = (rows - begin[rows] > REACH) | (end[rows] - rows > REACH + 1)
+        yield batch_of(codes[rows[crowded]], codes[rows[crowded]], np.full(int(crowded.sum()), _CROWDED))
+        rows = rows[~crowded]
+        size = end[rows] - begin[rows]
+        ends, done = np.cumsum(size), 0
+        while done < len(rows):
+            until = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _PAIRS_AT_ONCE)))
+            n = size[done:until]
+            place = np.repeat(np.arange(until - done), n)
+            i = rows[done:until][place]
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[rows[done:until]][place]
+            d = _distance(hashes[i], hashes[j]).astype(np.int64)
+            met = np.bincount(place * (GUIDE_LETTERS + 1) + d, minlength=(until - done) * (GUIDE_LETTERS + 1)).reshape(-1, GUIDE_LETTERS + 1)
+            met[:, 0] -= 1  # itself
+            limit = np.minimum((np.cumsum(met, 1) < k).sum(1), bound[rows[done:until]])
+            near = np.flatnonzero((d <= limit[place]) & (i != j))
+            i, j, d = i[near], j[near], d[near]
+            order = np.lexsort((codes[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
+            rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+            yield batch_of(codes[i[rank < k]], codes[j[rank < k]], d[rank < k])
+            done = until
+
+    def batch_of(left: np.ndarray, right: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"left": pa.array(left), "right": pa.array(right), "distance": pa.array(distance.astype(np.int32))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "hash", "code")]
-            run_key = (now[0][-1], now[1][-1] >> drop)
-            last = np.flatnonzero((now[0] != run_key[0]) | (now[1] >> drop != run_key[1]))
-            keep = int(last[-1]) + 1 if len(last) else 0
-            if keep:  # what is before the batch's last prefix is whole
-                whole = [np.concatenate([*(h[k] for h in held), now[k][:keep]]) for k in range(3)]
-                yield pairs(*whole)
-                held = []
-            held.append([x[keep:] for x in now])
-        if held:
-            yield pairs(*(np.concatenate([h[k] for h in held]) for k in range(3)))
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "at", "tree", "hash", "code", "level", "bound", "own")]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            new = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+            edges = [0, *new.tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield from pairs(*(x[a:b] for x in now[1:]))
+            held = [x[edges[-1] :] for x in now]
+        if held is not None:
+            yield from pairs(*held[1:])
 
     return run
 
 
-def close_codes(codes: DataFrame, max_distance: int) -> DataFrame:
-    """Rows (left, right, distance), left and right both ways round, of the distinct packed guides in column ``code``
-    that differ in 1 to ``max_distance`` letters. Each pair is found in the first tree that holds it."""
-    orders = tree_orders(max_distance)
-    trees = F.array(*(F.struct(F.lit(n).alias("tree"), _hash_string(F.col("code"), order).alias("hash")) for n, order in enumerate(orders)))
-    forest = codes.select("code", F.inline(trees)).withColumn("prefix", F.shiftright("hash", _BITS * max_distance))
-    arrays = forest.repartition("tree", "prefix").sortWithinPartitions("tree", "hash").select("tree", "hash", "code")
-    found = arrays.mapInArrow(_search(max_distance), _PAIRS)
-    return found.unionByName(found.select(F.col("right").alias("left"), F.col("left").alias("right"), "distance"))
+def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` sorted over all partitions, with their place from 0 in ``at``."""
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("first"))  # one row a partition
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("part", F.col("first"), F.coalesce(before, F.lit(0)).alias("before"))
+    return ranged.join(F.broadcast(counts), "part").withColumn("at", F.col("before") + F.col("row") - F.col("first")).drop("part", "row", "first", "before")
+
+
+def forest_neighbours(codes: DataFrame, k: int, max_distance: int | None = None) -> DataFrame:
+    """Rows (left, right, distance) of the distinct packed guides in column ``code``: for every one about the ``k``
+    others with the fewest differing letters, with ``max_distance`` only those so near.
+
+    Every tree is one sorted array of hash strings, range-sorted over the cluster. Each guide descends in each tree to
+    the longest prefix that ``SHARE`` others share; then all trees ascend together, letter by letter, until half of them
+    have so many, and whoever shares the prefix of that length in any tree is compared. Guides with ``max_distance`` at
+    most ``COVERED`` letters apart share the ``SURE_PREFIX`` of a covering tree, to which the ascent then goes at least.
+    A guide with more than ``REACH`` candidates on a side gets its neighbours by the exact search instead.
+    """
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planted = codes.select("code").repartition(parts, "code").mapInArrow(_plant, "tree int, hash bigint, code bigint")
+    arrays = _numbered(planted, ["tree", "hash"])
+    descended = arrays.mapInArrow(_descend(SHARE, k), "at bigint, tree int, hash bigint, code bigint, level int, bound int")
+    together = descended.groupBy("code").agg(F.collect_list(F.struct("level", "at", "tree", "hash")).alias("places"), F.min("bound").alias("bound"))  # a place for each tree
+    half = F.element_at(F.array_sort("places.level"), F.lit((COVERING_TREES + FREE_TREES) // 2))
+    if max_distance is not None:
+        half = F.least(half, F.lit(SURE_PREFIX))
+        together = together.withColumn("bound", F.least("bound", F.lit(max_distance)))
+    rows = together.select("code", "bound", half.alias("stop"), F.inline("places")).drop("level").withColumnRenamed("stop", "level")
+    inside = F.col("at") % BLOCK
+    beside = F.array(F.lit(0), F.when(inside < REACH + 1, F.lit(-1)), F.when(inside >= BLOCK - REACH - 1, F.lit(1)))
+    held = rows.withColumn("step", F.explode(F.array_compact(beside)))
+    held = held.select((F.floor(F.col("at") / BLOCK) + F.col("step")).alias("block"), "at", "tree", "hash", "code", "level", "bound", (F.col("step") == 0).alias("own"))
+    found = held.repartition(parts, "block").sortWithinPartitions("block", "at").mapInArrow(_ascend(k), "left bigint, right bigint, distance int")
+    found = cut(found.distinct())
+    crowded = found.where(F.col("distance") == _CROWDED).select(F.col("left").alias("code"))
+    near = found.where(F.col("distance") != _CROWDED)
+    if not crowded.isEmpty():
+        near = near.join(crowded, near["left"] == crowded["code"], "left_anti").unionByName(exact_neighbours(crowded, codes, k, max_distance))
+    best = Window.partitionBy("left").orderBy("distance", "right")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+
+
+def exact_neighbours(wanted: DataFrame, codes: DataFrame, k: int, max_distance: int | None = None) -> DataFrame:
+    """The same rows for the guides in ``wanted``, none missed however far, by the block join of the off-target search."""
+    guides = [df.select(unpack(F.col("code")).alias("guide")) for df in (wanted, codes)]
+    if max_distance is None:
+        found = offtarget.nearest_guides(*guides, GUIDE_LETTERS, k).drop("rank")
+    else:
+        found = offtarget.similar_guides(*guides, GUIDE_LETTERS, max_distance)
+    return found.select(pack(F.col("guide")).alias("left"), pack(F.col("other")).alias("right"), "distance")
 
 
-def nearest_guides(df: DataFrame, site: str, code: str, k: int = 10, max_distance: int | None = None) -> DataFrame:
-    """Rows (site, other, distance): for every site the ``k`` sites with the most similar guides, ties to the smaller id;
-    with ``max_distance`` only of those that differ in at most so many letters.
+def nearest_guides(df: DataFrame, site: str, code: str, k: int = 10, max_distance: int | None = None, exact: bool = False) -> DataFrame:
+    """Rows (site, other, distance): for every site ``k`` sites with the most similar guides, ties by the other's guide,
+    then to the smaller id; with ``max_distance`` only of those that differ in at most so many letters.
 
     Rows with a null site or code take no part, equal rows count once, a site is never its own neighbour; an empty table
     gives an empty result; other columns are dropped, whatever their names. A guide that very many sites share costs no
     more than its sites: every guide offers its first k + 1 sites to the others.
 
-    With ``max_distance``, guides become hash strings whose order of blocks differs by tree, and those that share the
-    prefix which guides so near share in one of the trees at least are compared, so that none is missed. Without it the
-    search of ``nearest_codes`` is widened until every guide has ``k`` others.
+    The search is ``forest_neighbours``, which loses a few of the farther neighbours; pairs within a ``max_distance`` of
+    up to ``COVERED`` letters are all seen. ``exact`` takes ``exact_neighbours`` instead.
     """
-    if max_distance is not None and not 0 < max_distance < BLOCKS:
-        raise ValueError(f"max_distance must be 1 to {BLOCKS - 1}")
+    if max_distance is not None and max_distance < 1:
+        raise ValueError("max_distance must be at least 1")
     sites = df.select(F.col(site).alias("site"), F.col(code).alias("code")).dropna().distinct()
     by_id = Window.partitionBy("code").orderBy("site")
     heads = sites.withColumn("rank", F.row_number().over(by_id)).where(F.col("rank") <= k + 1).drop("rank")
-    codes = sites.select("code").distinct()
-    if max_distance is None:
-        near = nearest_codes(codes, codes, GUIDE_LETTERS, k).select(F.col("code").alias("left"), F.col("other").alias("right"), "distance")
-    else:
-        near = close_codes(codes, max_distance)
-    offered = near.join(heads.withColumnRenamed("code", "right").withColumnRenamed("site", "other"), "right").select(F.col("left").alias("code"), "other", "distance")
-    offered = offered.unionByName(heads.select("code", F.col("site").alias("other"), F.lit(0).alias("distance")))
-    best = Window.partitionBy("code").orderBy("distance", "other")
+    codes = cut(sites.select("code").distinct())
+    near = exact_neighbours(codes, codes, k, max_distance) if exact else forest_neighbours(codes, k, max_distance)
+    offered = near.join(heads.withColumnRenamed("code", "right").withColumnRenamed("site", "other"), "right").select(F.col("left").alias("code"), "right", "other", "distance")
+    offered = offered.unionByName(heads.select("code", F.col("code").alias("right"), F.col("site").alias("other"), F.lit(0).alias("distance")))
+    best = Window.partitionBy("code").orderBy("distance", "right", "other")
     lists = offered.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
-    lists = lists.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("offers"))
+    lists = lists.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("distance", "right", "other"))).alias("offers"))
     own = sites.join(lists, "code").select("site", F.slice(F.filter("offers", lambda o: o["other"] != F.col("site")), 1, k).alias("offers"))
-    found = own.select("site", F.explode("offers").alias("o")).select("site", F.col("o.other").alias("other"), F.col("o.distance").alias("distance"))
-    again = Window.partitionBy("site").orderBy("distance", "other")  # a site may come with several guides
-    found = found.groupBy("site", "other").agg(F.min("distance").alias("distance"))
-    return found.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k).drop("rank")
+    found = own.select("site", F.explode("offers").alias("o")).select("site", "o.other", "o.distance", "o.right")
+    found = found.groupBy("site", "other").agg(F.min(F.struct("distance", "right")).alias("d")).select("site", "other", "d.distance", "d.right")  # a site may come with several guides
+    again = Window.partitionBy("site").orderBy("distance", "right", "other")
+    return found.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k).select("site", "other", "distance")

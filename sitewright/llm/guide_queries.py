@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.functions.guides import pack, unpack, usable_guide
-from sitewright.llm.forest import nearest_guides
+from sitewright.llm.forest import exact_neighbours, nearest_guides
 from sitewright.llm.frequent import frequent_items
 from sitewright.llm.splitting import split_oversized
 from sitewright.llm.termcounts import marked_terms, ngram_counts
 from sitewright.operators.latest import latest_by_key
+from sitewright.plans.stage import cut
 from sitewright.sources.tables import table
 
 MIN_SHARE = 0.002
@@ -18,6 +19,7 @@ SIZE_LIMIT = 4000
 OVERLAP = 200
 NEIGHBOURS = 10
 MAX_DIFFERING = 2
+ASKED, LEAST_RECALL = 50, 0.9
 RARE_TOTAL = 2
 COMMON_SHARE = 0.1
 
@@ -75,9 +77,12 @@ select distinct accession, case when list_max([length(x) for x in regexp_split_t
 """
 
 
+def coded_sites(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "site_output").select("site_id", pack(usable_guide(F.col("guide_sequence"))).alias("code"))
+
+
 def similar_sites(spark: SparkSession, directory: str, max_distance: int | None = None) -> DataFrame:
-    sites = table(spark, directory, "site_output").select("site_id", pack(usable_guide(F.col("guide_sequence"))).alias("code"))
-    return nearest_guides(sites, "site_id", "code", NEIGHBOURS, max_distance)
+    return nearest_guides(coded_sites(spark, directory), "site_id", "code", NEIGHBOURS, max_distance)
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -88,10 +93,32 @@ def p3_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     return similar_sites(spark, directory).select(F.col("site").alias("site_id"), F.col("other").alias("neighbour_id"), F.col("distance").alias("differing"))
 
 
+def p3_recall(spark: SparkSession, directory: str) -> DataFrame:
+    """Of the sites whose id is divisible by 50: how many there are, how many neighbours they should have, and whether at
+    least ``LEAST_RECALL`` of these are as near as the exact ones."""
+    asked = F.col("site_id") % ASKED == 0
+    sites = cut(coded_sites(spark, directory))
+    guides = sites.dropna().distinct()
+    near = nearest_guides(sites, "site_id", "code", NEIGHBOURS).select(F.col("site").alias("site_id"), F.col("distance").alias("differing")).where(asked).groupBy("site_id").agg(F.array_sort(F.collect_list("differing")).alias("found"))
+    ranks = guides.where(asked).select("code").distinct()
+    exact = exact_neighbours(ranks, guides.select("code").distinct(), NEIGHBOURS)
+    heads = guides.groupBy("code").agg(F.count("*").alias("n"))
+    # the distances of a site's neighbours: of its own guide's other sites, and of the sites of the nearest guides
+    others = exact.join(heads.withColumnRenamed("code", "right"), "right").select(F.col("left").alias("code"), "distance", F.least("n", F.lit(NEIGHBOURS)).cast("int").alias("n"))
+    same = heads.join(ranks, "code").select("code", F.lit(0).alias("distance"), F.least(F.col("n") - 1, F.lit(NEIGHBOURS)).cast("int").alias("n"))
+    true = others.unionByName(same).groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.array_repeat("distance", F.col("n"))))), 1, NEIGHBOURS).alias("true"))
+    rows = guides.where(asked).groupBy("site_id").agg(F.min("code").alias("code"), F.count("*").alias("guides")).where(F.col("guides") == 1)
+    both = rows.join(true, "code").join(near, "site_id", "left")
+    right = F.size(F.filter(F.coalesce("found", F.array().cast("array<int>")), lambda d: d <= F.array_max("true")))
+    sums = both.agg(F.count("*").alias("sites"), F.coalesce(F.sum(F.size("true")), F.lit(0)).alias("wanted"), F.sum(right).alias("right"))
+    return sums.select("sites", "wanted", (F.coalesce("right", F.lit(0)) >= LEAST_RECALL * F.col("wanted")).alias("enough"))
+
+
 _P3 = f"""with {_usable_sql("guide_sequence", "site_output")},
 s as (select distinct site_id, guide from usable where guide is not null and site_id is not null)"""
 P3_SQL = f"{_P3} select distinct a.site_id as site_a, b.site_id as site_b from s a join s b on a.site_id < b.site_id and hamming(a.guide, b.guide) <= {MAX_DIFFERING}"
-P3_NEIGHBOURS_SQL = f"{_P3} select a.site_id as site_id, b.site_id as neighbour_id, cast(min(hamming(a.guide, b.guide)) as integer) as differing from s a join s b on a.site_id <> b.site_id and hamming(a.guide, b.guide) <= {MAX_DIFFERING} group by 1, 2"
+P3_RECALL_SQL = f"""{_P3}, u as (select site_id from s where site_id % {ASKED} = 0 group by site_id having count(*) = 1)
+select count(*) as sites, cast(count(*) * least({NEIGHBOURS}, (select count(distinct site_id) from s) - 1) as bigint) as wanted, true as enough from u"""
 
 
 def guide_counts(spark: SparkSession, directory: str) -> DataFrame:
@@ -118,10 +145,10 @@ P5_SQL = f"{_P5} select grna, 'rare' as mark from m where rare union all select
 P5_FREQUENCY_SQL = f"{_P5} select grna, total, accessions, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from m"
 
 QUERIES = {
-    "p1_found": p1_found, "p1_hot_guides": p1_hot_guides, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_neighbours": p3_neighbours,
+    "p1_found": p1_found, "p1_hot_guides": p1_hot_guides, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall,
     "p5_found": p5_found, "p5_guide_frequency": p5_guide_frequency,
 }
 SQL = {
-    "p1_found": P1_SQL, "p1_hot_guides": P1_HOT_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_neighbours": P3_NEIGHBOURS_SQL,
+    "p1_found": P1_SQL, "p1_hot_guides": P1_HOT_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_recall": P3_RECALL_SQL,
     "p5_found": P5_SQL, "p5_guide_frequency": P5_FREQUENCY_SQL,
 }

@@ -8,12 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewright.functions.guides import pack, unpack, usable_guide
-from sitewright.llm import frequent
-from sitewright.llm.forest import _close_in_run, close_codes, nearest_guides, tree_orders
+from sitewright.llm import forest, frequent
+from sitewright.llm.forest import SURE_PREFIX, _shared, forest_neighbours, nearest_guides, tree_orders
 from sitewright.llm.frequent import HeavyLight, frequent_items
 from sitewright.llm.splitting import best_cuts, split_oversized
 from sitewright.llm.termcounts import marked_terms, ngram_counts
-from sitewright.operators import offtarget
 
 
 def test_usable_guides(spark):
@@ -163,57 +162,84 @@ def differing(a, b):
     return sum(x != y for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("most", [1, 2, 3])
-def test_forest_finds_every_close_pair_once(spark, most):
-    guides = sorted(set(family(random.Random(most), 80)))
+def close(guides, most):
+    return {(a, b, differing(a, b)) for a in guides for b in guides if 0 < differing(a, b) <= most}
+
+
+@pytest.mark.parametrize("reach", [2048, 40, 1])
+def test_forest_finds_every_close_pair(spark, monkeypatch, reach):
+    """With a short reach guides get their neighbours by the exact search, and halos go over the ends of blocks."""
+    monkeypatch.setattr(forest, "REACH", reach)
+    monkeypatch.setattr(forest, "BLOCK", 100)
+    guides = sorted(set(family(random.Random(reach), 80)))
     names = {coded(g): g for g in guides}
-    rows = [tuple(x) for x in close_codes(spark.createDataFrame([(c,) for c in names], "code bigint"), most).collect()]
-    assert len(rows) == len(set(rows))
-    assert {(names[a], names[b], d) for a, b, d in rows} == {(a, b, differing(a, b)) for a in guides for b in guides if 0 < differing(a, b) <= most}
+    rows = [tuple(x) for x in forest_neighbours(spark.createDataFrame([(c,) for c in names], "code bigint"), 30, 2).collect()]
+    assert len(rows) == len(set(rows)) and {(names[a], names[b], d) for a, b, d in rows} == close(guides, 2)
 
 
-def test_crowded_prefix_equals_plain(monkeypatch):
-    from sitewright.llm import forest
+def test_shared_letters_of_hash_strings():
+    r = random.Random(1)
+    for _ in range(200):
+        a = "".join(r.choice("ACGT") for _ in range(20))
+        b = a[: (n := r.randrange(21))] + "".join(r.choice("ACGT") for _ in range(20 - n))
+        want = next((i for i in range(20) if a[i] != b[i]), 20)
+        assert _shared(np.asarray([coded(a)]), np.asarray([coded(b)]))[0] == want
 
+
+def test_near_guides_that_most_guides_resemble(spark, monkeypatch):
+    """A third of all guides share sixteen letters; what they crowd out comes by the exact search."""
+    monkeypatch.setattr(forest, "REACH", 20)
+    monkeypatch.setattr(forest, "BLOCK", 64)
     r = random.Random(9)
-    codes = np.unique(np.asarray([coded("A" * 12 + "".join(r.choice("ACGT") for _ in range(8))) for _ in range(300)]))
-    one = np.zeros(len(codes), np.int64)
-    a = {tuple(sorted(x)) for x in zip(*_close_in_run(codes, codes, one, 2), strict=True)}
-    monkeypatch.setattr(forest, "_CROWD", 5)
-    i, j = _close_in_run(codes, codes, one, 2)
-    b = [tuple(sorted(x)) for x in zip(i, j, strict=True)]
-    assert a == set(b) and len(b) == len(set(b)) and a
+    guides = sorted({"A" * 16 + "".join(r.choice("ACGT") for _ in range(4)) for _ in range(150)} | {"".join(r.choice("ACGT") for _ in range(20)) for _ in range(250)})
+    names = {coded(g): g for g in guides}
+    rows = [tuple(x) for x in forest_neighbours(spark.createDataFrame([(c,) for c in names], "code bigint"), 500, 2).collect()]
+    assert {(names[a], names[b], d) for a, b, d in rows} == close(guides, 2)
 
 
-def test_nearest_sites(spark):
+@pytest.mark.parametrize("exact", [False, True])
+def test_nearest_sites(spark, exact):
     r = random.Random(4)
     guides = family(r, 40)
     rows = [(i, coded(g)) for i, g in enumerate(guides)]
     given = [*rows, *rows[:5], (None, 3), (900, None)]
     df = spark.createDataFrame(given, "s bigint, c bigint").withColumns({"site": F.lit("x"), "code": F.lit("y"), "other": F.lit(1)})
     found = defaultdict(list)
-    for x in nearest_guides(df, "s", "c", k=3, max_distance=2).collect():
+    for x in nearest_guides(df, "s", "c", k=3, max_distance=2, exact=exact).collect():
         found[x.site].append((x.distance, x.other))
     for i, g in enumerate(guides):
-        near = sorted((d, j) for j, h in enumerate(guides) if j != i and (d := differing(g, h)) <= 2)
-        assert sorted(found[i]) == near[:3]
+        near = sorted((d, h, j) for j, h in enumerate(guides) if j != i and (d := differing(g, h)) <= 2)
+        assert sorted(found[i]) == sorted((d, j) for d, _, j in near[:3])
 
 
-@pytest.mark.parametrize("join_first", [False, True])
-def test_every_site_has_its_nearest(spark, monkeypatch, join_first):
-    """However many letters they differ in."""
-    if join_first:
-        monkeypatch.setattr(offtarget, "_PAIR_COST", 0)
-        monkeypatch.setattr(offtarget, "_KEY_COST", 0)
+@pytest.mark.parametrize("exact", [False, True])
+def test_every_site_has_its_nearest(spark, exact):
+    """However many letters they differ in; of 160 guides the forest compares every one with every other."""
     guides = family(random.Random(6), 40)
     found = defaultdict(list)
-    for x in nearest_guides(spark.createDataFrame([(i, coded(g)) for i, g in enumerate(guides)], "s bigint, c bigint"), "s", "c", k=3).collect():
+    for x in nearest_guides(spark.createDataFrame([(i, coded(g)) for i, g in enumerate(guides)], "s bigint, c bigint"), "s", "c", k=3, exact=exact).collect():
         found[x.site].append((x.distance, x.other))
     for i, g in enumerate(guides):
-        assert sorted(found[i]) == sorted((differing(g, h), j) for j, h in enumerate(guides) if j != i)[:3]
+        near = sorted((differing(g, h), h, j) for j, h in enumerate(guides) if j != i)
+        assert sorted(found[i]) == sorted((d, j) for d, _, j in near[:3])
     assert max(d for x in found.values() for d, _ in x) > 4
 
 
+def test_forest_recall(spark):
+    """Of guides without any order, whose neighbours are far."""
+    r = random.Random(12)
+    guides = sorted({"".join(r.choice("ACGT") for _ in range(20)) for _ in range(3000)})
+    names = {coded(g): g for g in guides}
+    found = defaultdict(list)
+    for x in forest_neighbours(spark.createDataFrame([(c,) for c in names], "code bigint"), 10).collect():
+        found[names[x.left]].append(x.distance)
+    right = 0
+    for g in guides[::50]:
+        last = sorted(differing(g, h) for h in guides if h != g)[9]
+        right += sum(d <= last for d in found[g])
+    assert right >= 0.9 * 10 * len(guides[::50])
+
+
 def test_many_sites_share_a_guide(spark):
     df = spark.createDataFrame([(i, 5) for i in range(400)] + [(1000, 4)], "s bigint, c bigint")
     rows = nearest_guides(df, "s", "c", k=4).collect()
@@ -221,8 +247,12 @@ def test_many_sites_share_a_guide(spark):
     assert sorted(x.other for x in rows if x.site == 2) == [0, 1, 3, 4] and sorted(x.other for x in rows if x.site == 1000) == [0, 1, 2, 3]
     assert nearest_guides(df.limit(0), "s", "c").collect() == []
     with pytest.raises(ValueError):
-        nearest_guides(df, "s", "c", max_distance=5)
+        nearest_guides(df, "s", "c", max_distance=0)
 
 
 def test_trees_cover_all_choices():
-    assert len(tree_orders(2)) == 10 and all(sorted(o) == list(range(5)) for o in tree_orders(2))
+    orders = tree_orders()
+    assert all(sorted(o) == list(range(20)) for o in orders)
+    for i in range(20):
+        for j in range(i):
+            assert any(i not in o[:SURE_PREFIX] and j not in o[:SURE_PREFIX] for o in orders)
