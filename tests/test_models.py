@@ -85,7 +85,7 @@ def test_levenshtein_mode(spark):
     near = a[:-3] + "AAA"
     df = lambda *g: spark.createDataFrame([(x,) for x in g], "guide string")
     assert specific_guides(df(a), df(a, shifted), 20, 3, "levenshtein").collect() == [] and specific_guides(df(a), df(a, shifted), 20, 2, "levenshtein").count() == 1
-    others = [x + a[1:9] + y + a[10:19] + z for x, y, z in ("CAA", "GCG", "TTT")]  # three that differ in three letters count before it
+    others = [x + a[1:9] + y + a[10:19] + z for x, y, z in ("CAA", "GGG", "TTT")]  # three that differ in three letters count before it
     assert [x.nearest for x in specific_guides(df(a), df(a, shifted, *others), 20, 3, "levenshtein").collect()] == [min(others)]
     assert specific_guides(df(a), df(a, near), 20, 4, "levenshtein").collect() == [] and specific_guides(df(a), df(a, near), 20, 3, "hamming").count() == 1
     assert [x.nearest_distance for x in specific_guides(df(a), df(a, near), 20, 3).collect()] == [3] and specific_guides(df(a), df(a, near), 20, 0).count() == 1
