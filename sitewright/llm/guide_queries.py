@@ -70,6 +70,17 @@ def p2_pieces(spark: SparkSession, directory: str) -> DataFrame:
     return _pieces(spark, directory, True).select("item.record_id", "item.accession", "letters", "cut_kind", "piece", "begin", "end", "repeated", "at_gap", "text")
 
 
+def p2_rejoined(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of each delivery put together again, without what they repeat, and whether all keep to the limit."""
+    records = table(spark, directory, "contigs").select(F.struct("record_id", "accession", F.monotonically_increasing_id().alias("row")).alias("record"), "seq")
+    pieces = split_oversized(records, "record", "seq", SIZE_LIMIT, OVERLAP)
+    own = F.array_sort(F.collect_list(F.struct("piece", F.substr("text", F.col("repeated") + 1).alias("own"))))  # as much as one row held
+    joined = pieces.groupBy("item").agg(own.alias("parts"), F.bool_and((F.length("text") <= SIZE_LIMIT) & (F.col("piece").eqNullSafe(0) | (F.col("repeated") == OVERLAP))).alias("kept"))
+    return joined.select("item.record_id", "item.accession", F.md5(F.array_join("parts.own", "")).alias("digest"), "kept")
+
+
+P2_REJOINED_SQL = f"""with c as (select record_id, accession, upper(regexp_replace(seq, '[^A-Za-z]', '', 'g')) as s from contigs)
+select record_id, accession, md5(s) as digest, true as kept from c where length(s) > {SIZE_LIMIT}"""
 P2_SQL = f"""
 with c as (select distinct accession, upper(regexp_replace(seq, '[^A-Za-z]', '', 'g')) as s from contigs),
 l as (select * from c where length(s) > {SIZE_LIMIT})
@@ -145,10 +156,10 @@ P5_SQL = f"{_P5} select grna, 'rare' as mark from m where rare union all select
 P5_FREQUENCY_SQL = f"{_P5} select grna, total, accessions, concat_ws(',', case when rare then 'rare' end, case when common then 'common' end) as marks from m"
 
 QUERIES = {
-    "p1_found": p1_found, "p1_hot_guides": p1_hot_guides, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall,
+    "p1_found": p1_found, "p1_hot_guides": p1_hot_guides, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rejoined": p2_rejoined, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall,
     "p5_found": p5_found, "p5_guide_frequency": p5_guide_frequency,
 }
 SQL = {
-    "p1_found": P1_SQL, "p1_hot_guides": P1_HOT_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_recall": P3_RECALL_SQL,
+    "p1_found": P1_SQL, "p1_hot_guides": P1_HOT_SQL, "p2_found": P2_SQL, "p2_rejoined": P2_REJOINED_SQL, "p3_found": P3_SQL, "p3_recall": P3_RECALL_SQL,
     "p5_found": P5_SQL, "p5_guide_frequency": P5_FREQUENCY_SQL,
 }

@@ -18,7 +18,8 @@ from sitewright.plans.stage import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into words before the byte pairs are merged; fixed by the vocabulary (public byte-level BPE).
 WORD_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-BINS_A_SHARD = 4000
+#: Containers that one task packs, shards whose half-empty containers one task brings together.
+BINS_A_SHARD, SHARDS_A_ROUND = 250, 256
 
 
 @lru_cache(1)
@@ -103,7 +104,18 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def _pack(capacity: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["row", "piece"], kind="stable", ignore_index=True)
-        return rows.assign(bin=best_fit_decreasing(rows["tokens"].to_numpy(), capacity))
+        rows["bin"] = best_fit_decreasing(rows["tokens"].to_numpy(), capacity)
+        return rows.assign(filled=rows.groupby("bin")["tokens"].transform("sum"))
+
+    return run
+
+
+def _bring_together(capacity: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["shard", "bin"], kind="stable", ignore_index=True)
+        into = best_fit_decreasing(rows["filled"].to_numpy(), capacity)
+        first = pd.Series(rows.index).groupby(into).transform("first").to_numpy()  # the container keeps its first one's name
+        return rows[["shard", "bin"]].assign(to_shard=rows["shard"].to_numpy()[first], to_bin=rows["bin"].to_numpy()[first])
 
     return run
 
@@ -117,8 +129,8 @@ def pack_documents(sizes: DataFrame, capacity: int, bins_a_shard: int = BINS_A_S
     are dropped.
 
     Full pieces are containers already. The others are dealt at random, by a hash of the row, into shards of about
-    ``bins_a_shard`` containers, each packed in one task by best fit decreasing; a shard leaves no more than its last
-    containers open, so the room lost is about one container in ``bins_a_shard``.
+    ``bins_a_shard`` containers, each packed in one task by best fit decreasing. A shard leaves its last containers
+    open; those that are at most half full are then brought together, as items of a second round, by groups of shards.
     """
     kind = sizes.schema["doc"].dataType
     sizes = cut(sizes.select("doc", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens")))
@@ -130,10 +142,14 @@ def pack_documents(sizes: DataFrame, capacity: int, bins_a_shard: int = BINS_A_S
     rest = sizes.agg(F.sum(F.pmod("tokens", F.lit(capacity)))).first()[0] or 0
     shards = max(1, -(-rest // (capacity * bins_a_shard)))
     open_pieces = pieces.where((F.col("tokens") > 0) & (F.col("tokens") < capacity))
-    shape = T.StructType([T.StructField("doc", kind), T.StructField("row", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("begin", "end", "tokens")), T.StructField("shard", T.IntegerType()), T.StructField("bin", T.LongType())])
-    shard = F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int")
-    packed = open_pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(capacity), shape)
-    packed = packed.withColumn("container", F.concat_ws("-", F.lit("s"), "shard", "bin")).drop("row", "shard", "bin")
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    shape = T.StructType([T.StructField("doc", kind), *longs("row"), T.StructField("piece", T.IntegerType()), *longs("begin", "end", "tokens", "shard", "bin", "filled")])
+    shard = F.pmod(F.xxhash64("row", "piece"), F.lit(shards))
+    packed = cut(open_pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(_pack(capacity), shape))
+    open_bins = packed.where(F.col("filled") <= capacity // 2).select("shard", "bin", "filled").distinct()
+    moved = open_bins.groupBy(F.floor(F.col("shard") / SHARDS_A_ROUND)).applyInPandas(_bring_together(capacity), T.StructType(longs("shard", "bin", "to_shard", "to_bin")))
+    packed = packed.join(moved, ["shard", "bin"], "left")
+    packed = packed.withColumn("container", F.concat_ws("-", F.lit("s"), F.coalesce("to_shard", "shard"), F.coalesce("to_bin", "bin"))).select("doc", "piece", "begin", "end", "tokens", "container")
     whole = pieces.where((F.col("tokens") == 0) | (F.col("tokens") == capacity))
     own = F.when(F.col("tokens") > 0, F.concat_ws("-", F.lit("f"), "row", "piece"))
     return packed.unionByName(whole.withColumn("container", own).drop("row"))

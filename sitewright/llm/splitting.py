@@ -20,8 +20,15 @@ def boundaries(letters: bytes, gap_letter: bytes, min_gap: int) -> list[tuple[in
     return [m.span() for m in re.finditer(re.escape(gap_letter) + b"{%d,}" % min_gap, letters)]
 
 
-def best_cuts(size: int, gaps: list[tuple[int, int]], limit: int, grid: int) -> list[tuple[int, bool]]:
-    """The cuts (position, at a gap) that split ``size`` letters into pieces of at most ``limit`` at the least cost.
+def fits_between(size: int, gaps: list[tuple[int, int]], limit: int) -> bool:
+    """Whether no stretch between gaps or ends is longer than ``limit``."""
+    edges = [0, *(x for gap in gaps for x in gap), size]
+    return all(end - begin <= limit for begin, end in zip(edges[::2], edges[1::2], strict=True))
+
+
+def best_cuts(size: int, gaps: list[tuple[int, int]], limit: int, grid: int, overlap: int = 0) -> list[tuple[int, bool]]:
+    """The cuts (position, at a gap) that split ``size`` letters, each piece with the ``overlap`` letters before it, into
+    pieces of at most ``limit`` at the least cost.
 
     The cost is the number of cuts outside gaps first, then the squared deviations of the pieces from even sizes. Cuts
     may be at both ends of a gap and on a grid of ``grid`` letters, inside gaps or not.
@@ -34,10 +41,10 @@ def best_cuts(size: int, gaps: list[tuple[int, int]], limit: int, grid: int) ->
     k = np.searchsorted(begins, at, side="right") - 1
     free = (k >= 0) & (at <= ends[k]) if len(gaps) else np.zeros(len(at), bool)
     free[-1] = True
-    even = size / -(-size // limit)
+    even = size / (1 - (limit - size) // (limit - overlap))
     penalty = np.where(free, 0.0, _INSIDE)
     cost, came = np.zeros(len(at)), np.zeros(len(at), np.int64)
-    low = np.searchsorted(at, at - limit)
+    low = np.searchsorted(np.maximum(at - overlap, 0), at - limit)  # a piece takes the overlap along
     for i in range(1, len(at)):
         before = slice(low[i], i)
         total = cost[before] + ((at[i] - at[before] - even) / limit) ** 2
@@ -52,22 +59,24 @@ def best_cuts(size: int, gaps: list[tuple[int, int]], limit: int, grid: int) ->
 
 def _pieces(limit: int, overlap: int, gap_letter: str, min_gap: int, grid: int, with_text: bool):
     gap = gap_letter.upper().encode()
+    names = ("item", "letters", "cut_kind", "piece", "begin", "end", "repeated", "at_gap", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                letters = text.encode().translate(None, _NO_LETTERS).upper()
+            kinds = (batch.column("item").type, pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string())
+            for item, text in zip(batch.column("item"), batch.column("text"), strict=True):
+                letters = text.as_py().encode().translate(None, _NO_LETTERS).upper()
                 if len(letters) <= limit:
                     continue
-                cuts = best_cuts(len(letters), boundaries(letters, gap, min_gap), limit, grid)
-                kind = "gap" if all(free for _, free in cuts) else "inside"
+                gaps = boundaries(letters, gap, min_gap)
+                cuts = best_cuts(len(letters), gaps, limit, grid, overlap)
+                kind = "gap" if fits_between(len(letters), gaps, limit) else "inside"
                 edges = [0, *(p for p, _ in cuts), len(letters)]
+                rows = []
                 for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     begin = max(0, a - overlap)
-                    rows.append((item, len(letters), kind, n, begin, b, a - begin, (n == 0 or cuts[n - 1][1]), letters[begin:b].decode() if with_text else None))
-            names = ("item", "letters", "cut_kind", "piece", "begin", "end", "repeated", "at_gap", "text")
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((batch.column("item").type, pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.string()))], names)
+                    rows.append((item.as_py(), len(letters), kind, n, begin, b, a - begin, (n == 0 or cuts[n - 1][1]), letters[begin:b].decode() if with_text else None))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -75,16 +84,17 @@ def _pieces(limit: int, overlap: int, gap_letter: str, min_gap: int, grid: int,
 def split_oversized(df: DataFrame, item: str, text: str, limit: int, overlap: int = 0, gap_letter: str = "N", min_gap: int = 10, grid: int = 50, with_text: bool = True) -> DataFrame:
     """The pieces of every row whose ``text`` has more than ``limit`` letters (A-Z in either case; nothing else counts).
 
-    A piece takes at most ``limit`` letters of its own and repeats the ``overlap`` letters before them, fewer only where
+    A piece has at most ``limit`` letters, with the ``overlap`` letters before its own that it repeats, fewer only where
     the item has no more. Cuts lie at runs of ``min_gap`` gap letters where these allow it. Columns: item, letters,
-    cut_kind (``gap`` if all cuts of the item are at gaps, else ``inside``), piece, begin, end (of the upper-case
-    letters, with the repeated ones), repeated, at_gap, text (null unless ``with_text``).
+    cut_kind (``gap`` if no stretch between gaps is longer than ``limit``, else ``inside``), piece, begin, end (of the
+    upper-case letters, with the repeated ones), repeated, at_gap (whether the piece's own letters begin at a gap or the
+    item's start; a stretch that fits only without the overlap is cut inside), text (null unless ``with_text``).
 
     Rows with null, empty or short texts give nothing; repeated rows are cut again; null items stay null; other columns
     are dropped, whatever their names.
     """
-    if limit < 1 or overlap < 0 or not 1 <= grid <= limit:
-        raise ValueError("limit and grid must be positive, overlap not negative, and grid at most limit")
+    if overlap < 0 or grid < 1 or overlap + grid > limit:
+        raise ValueError("grid must be positive, overlap not negative, and both together at most limit")
     kind = df.schema[item].dataType
     schema = T.StructType(
         [

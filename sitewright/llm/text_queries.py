@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitewright.llm.leaks import find_leaks
 from sitewright.llm.packing import pack_documents, token_counts
 from sitewright.llm.pii import find_pii, redact_pii
+from sitewright.plans.stage import cut
 from sitewright.sources.tables import table
 
 CAPACITY = 8192
@@ -20,6 +21,17 @@ def p6_packed_articles(spark: SparkSession, directory: str) -> DataFrame:
     return pack_documents(sizes, CAPACITY).withColumnRenamed("doc", "doc_id")
 
 
+def p6_covered(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether the pieces of each article cover its tokens once, and all its containers hold at most their capacity."""
+    packed = cut(p6_packed_articles(spark, directory))
+    held = packed.groupBy("container").agg(F.sum("tokens").alias("held"))
+    rows = packed.join(held, "container", "left").groupBy("doc_id").agg(
+        (F.sum("tokens") == F.max("end")).alias("whole"), ((F.min("begin") == 0) & (F.count("*") == F.max("piece") + 1)).alias("once"), (F.coalesce(F.max("held"), F.lit(0)) <= CAPACITY).alias("fits"),
+        ((F.max("end") > 0) == F.bool_and(F.col("container").isNotNull())).alias("placed"),
+    )
+    return rows
+
+
 def leaks(spark: SparkSession, directory: str) -> DataFrame:
     items = table(spark, directory, "eval_passages")
     found = find_leaks(table(spark, directory, "documents"), "doc_id", "text", items, "item_id", "passage", MIN_WORDS, MAX_EDITS)
@@ -43,7 +55,7 @@ def p8_redacted_articles(spark: SparkSession, directory: str) -> DataFrame:
     return redact_pii(table(spark, directory, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p6_packed_articles": p6_packed_articles, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_redacted_articles": p8_redacted_articles}
+QUERIES = {"p6_packed_articles": p6_packed_articles, "p6_covered": p6_covered, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_redacted_articles": p8_redacted_articles}
 
 
 def _runs_sql(name: str, key: str, text: str, rows: str) -> str:
@@ -55,4 +67,4 @@ def _runs_sql(name: str, key: str, text: str, rows: str) -> str:
 {name} as (select distinct {key}, words from {name}_runs where n = {MIN_WORDS})"""
 
 
-SQL = {"p7_found": f"with {_runs_sql('d', 'doc_id', 'text', 'documents')}, {_runs_sql('i', 'item_id', 'passage', 'eval_passages')} select distinct doc_id, item_id from d join i using (words)"}
+SQL = {"p6_covered": "select doc_id, true as whole, true as once, true as fits, true as placed from documents", "p7_found": f"with {_runs_sql('d', 'doc_id', 'text', 'documents')}, {_runs_sql('i', 'item_id', 'passage', 'eval_passages')} select distinct doc_id, item_id from d join i using (words)"}

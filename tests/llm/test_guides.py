@@ -98,7 +98,7 @@ def test_marks(spark):
 def check_pieces(pieces, letters, limit, overlap):
     own = 0
     for p in pieces:
-        assert p.text == letters[p.begin : p.end] and p.end - p.begin - p.repeated <= limit
+        assert p.text == letters[p.begin : p.end] and p.end - p.begin <= limit
         assert p.begin + p.repeated == own and p.repeated == min(overlap, own)
         own = p.end
     assert own == len(letters)
@@ -126,7 +126,9 @@ def test_pieces(spark):
 
         longest = max(map(len, re.split("N{10,}", letters)))
         assert {p.cut_kind for p in pieces} == {"gap" if longest <= 100 else "inside"}
-        assert (pieces[0].cut_kind == "gap") == all(p.at_gap for p in pieces)
+        assert pieces[0].cut_kind == "gap" or not all(p.at_gap for p in pieces)
+        if longest <= 93:  # every stretch fits together with the overlap
+            assert all(p.at_gap for p in pieces)
 
 
 def test_cuts_are_even_where_nothing_else_counts():
@@ -141,6 +143,8 @@ def test_piece_edges(spark):
     assert split_oversized(empty, "i", "s", 10, grid=5).collect() == []
     twice = spark.createDataFrame([(None, "A" * 25)] * 2, "i int, s string")
     assert [x.item for x in split_oversized(twice, "i", "s", 10, grid=5).collect()] == [None] * 6
+    with pytest.raises(ValueError):
+        split_oversized(twice, "i", "s", 10, 6, grid=5)
 
 
 def coded(guide):

@@ -118,11 +118,12 @@ def test_best_fit_takes_the_tightest_bin():
     assert [tree.tightest(n) for n in (1, 4, 5, 9, 10)] == [4, 4, 9, 9, -1]
 
 
-def test_packed_documents(spark):
+@pytest.mark.parametrize("shard_size", [5, 50, 5000])
+def test_packed_documents(spark, shard_size):
     r = random.Random(2)
     rows = [(i, r.choice([0, 1, 30, 60, 99, 100, 101, 250, None])) for i in range(500)] + [(1, 60), (1, 60), (None, 50)]
     df = spark.createDataFrame(rows, "doc bigint, tokens bigint").withColumn("bin", F.lit("x"))
-    out = pack_documents(df, 100, bins_a_shard=50).collect()
+    out = pack_documents(df, 100, bins_a_shard=shard_size).collect()
     rooms, parts = {}, {}
     for x in out:
         assert x.end - x.begin == x.tokens and (x.container is None) == (x.tokens == 0)
