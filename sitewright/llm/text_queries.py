@@ -39,7 +39,17 @@ def leaks(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, directory: str) -> DataFrame:
-    return leaks(spark, directory).where(F.col("run_words") >= MIN_WORDS).select("doc_id", "item_id").distinct()
+    return leaks(spark, directory).where(F.col("edits") == 0).select("doc_id", "item_id").distinct()
+
+
+def p7_edited(spark: SparkSession, directory: str) -> DataFrame:
+    """The leaks that are found again when every twelfth word of each passage is another one."""
+    words = F.array_compact(F.split(F.regexp_replace(F.lower("passage"), r"[^\p{L}\p{N}]+", " "), " "))
+    edited = F.array_join(F.transform(F.filter(words, lambda w: w != ""), lambda w, i: F.when(i % MIN_WORDS == 5, F.lit("zzzzz")).otherwise(w)), " ")
+    items = table(spark, directory, "eval_passages").select("item_id", edited.alias("passage"))
+    found = find_leaks(table(spark, directory, "documents"), "doc_id", "text", items, "item_id", "passage", MIN_WORDS, MAX_EDITS)
+    found = found.where(F.col("edits") == 1).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    return found.join(p7_found(spark, directory), ["doc_id", "item_id"])
 
 
 def p7_leaked_items(spark: SparkSession, directory: str) -> DataFrame:
@@ -55,7 +65,7 @@ def p8_redacted_articles(spark: SparkSession, directory: str) -> DataFrame:
     return redact_pii(table(spark, directory, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p6_packed_articles": p6_packed_articles, "p6_covered": p6_covered, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p8_found": p8_found, "p8_redacted_articles": p8_redacted_articles}
+QUERIES = {"p6_packed_articles": p6_packed_articles, "p6_covered": p6_covered, "p7_found": p7_found, "p7_leaked_items": p7_leaked_items, "p7_edited": p7_edited, "p8_found": p8_found, "p8_redacted_articles": p8_redacted_articles}
 
 
 def _runs_sql(name: str, key: str, text: str, rows: str) -> str:
@@ -67,4 +77,5 @@ def _runs_sql(name: str, key: str, text: str, rows: str) -> str:
 {name} as (select distinct {key}, words from {name}_runs where n = {MIN_WORDS})"""
 
 
-SQL = {"p6_covered": "select doc_id, true as whole, true as once, true as fits, true as placed from documents", "p7_found": f"with {_runs_sql('d', 'doc_id', 'text', 'documents')}, {_runs_sql('i', 'item_id', 'passage', 'eval_passages')} select distinct doc_id, item_id from d join i using (words)"}
+_LEAKS = f"with {_runs_sql('d', 'doc_id', 'text', 'documents')}, {_runs_sql('i', 'item_id', 'passage', 'eval_passages')} select distinct doc_id, item_id from d join i using (words)"
+SQL = {"p6_covered": "select doc_id, true as whole, true as once, true as fits, true as placed from documents", "p7_found": _LEAKS, "p7_edited": _LEAKS}

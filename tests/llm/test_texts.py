@@ -73,14 +73,14 @@ def test_leaks_equal_brute_force(spark, edits):
         assert " ".join(run) in dict(items)[item]
 
 
-def test_leaks_in_blocks_and_empty(spark, monkeypatch):
+def test_leaks_with_a_full_filter_and_empty(spark, monkeypatch):
     from sitewright.llm import leaks
 
     items, docs = leak_case(random.Random(5))
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     i = spark.createDataFrame(items, "item_id bigint, passage string")
     whole = sorted(map(tuple, find_leaks(d, "doc_id", "text", i, "item_id", "passage").collect()))
-    monkeypatch.setattr(leaks, "ITEMS_A_PASS", 2)
+    monkeypatch.setattr(leaks, "FILTER_BITS", 8)
     assert sorted(map(tuple, find_leaks(d, "doc_id", "text", i, "item_id", "passage").collect())) == whole
     assert find_leaks(d.limit(0), "doc_id", "text", i, "item_id", "passage").collect() == []
     assert find_leaks(d, "doc_id", "text", i.limit(0), "item_id", "passage").collect() == []
