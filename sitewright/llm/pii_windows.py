@@ -5,43 +5,38 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from sitewright.llm.pii_labels import BIBLIOGRAPHY
-
-WIDTH, OVERLAP = 160, 48
+WIDTH, OVERLAP = 240, 48
+BIBLIOGRAPHY = re.compile(r"\\begin\{thebibliography\}.*?(?:\\end\{thebibliography\}|\Z)", re.S)
 
 _GAP = r"(?:~|\\[ ,]|\s*\n\s*(?:%\s*)?|[ \t])"
-# fixed values: words that begin sentences and take no part in names
-_NOT_GIVEN = frozenset(
-    "The This These Those That Both Each Every For From Here There No One It Its In On At As To We Our Let Between Section Sections Table Tables Figure Figures Under After Before Sites Institute By An And But When Where If "
-    "Die Der Das Dem Den Des Ein Eine Einer Im Am Wir Für Dabei Abbildung Tabelle Bei Mit Von Zu Auf Es Nach "
-    "La Le Les Un Une Nous On Pour Dans El Los Las Una En De Medimos Para Además Al Con Por "
-    "Accordingly Additionally Conversely Furthermore Hence However Likewise Moreover Nevertheless Similarly Surprisingly Therefore Thus".split()
-)
-_NAME = re.compile(rf"[A-ZÀ-Ý](?:\.|[\w'-]+)(?=({_GAP}{{1,2}}(?:(?:[a-z]{{1,4}}{_GAP}{{1,2}}){{1,2}}|[a-z]{{2}}-)?(?:[A-ZÀ-Ý]|\\['\"`^~=.vcuHk]\W?[A-Za-z]|\{{\\)\S*))")
-_DIGITS = re.compile(r"\d(?:[-+ .~()\\,/\n]{0,3}\d){4,}")
-_SIGN = re.compile(r"@(?!\d)")
+_CAPITAL = "A-ZÀ-ÖØ-ÞĀ-ɏΆ-ΫЀ-Я"  # of Latin, Greek and Cyrillic; in the extended part both cases
+_BEGIN = rf"(?:[{_CAPITAL}]|\\['\"`^~=.vcuHkr]\W?[A-Za-z]|\{{\\)"
+_NAME = re.compile(rf"[{_CAPITAL}](?:\.|[^\W_][\w'’-]*)(?=({_GAP}{{1,2}}(?:(?:[a-z]{{1,4}}{_GAP}{{1,2}}){{1,2}}|[a-z]{{2}}-)?{_BEGIN}\S*))")
+_ACCENTED = re.compile(rf"\\['\"`^~=.vcuHkr]\W?[A-Z]\S*{_GAP}{{1,2}}{_BEGIN}\S*|[A-Z][a-z]*\\['\"`^~=.vcuHkr]\W?[A-Za-z]\S*{_GAP}{{1,2}}{_BEGIN}\S*")
+_DIGITS = re.compile(r"\d(?:[-+ .~()\\,/\n]{0,3}\d){4,}|\d(?:[A-Z ]{0,2}\d){4,}")
+_SIGN = re.compile(r"@")
 _BRACKETED = re.compile(r"[\[({<]\s?(?:at|AT)\s?[\])}>]")
-_SPELLED = tuple(re.compile(at + r"\s+[A-Za-z][\w-]*\s*(?:\.[A-Za-z]|[\[({]?\s*\bdot\b)") for at in ("at", "AT"))
+_SPELLED = re.compile(r"(?<![^\W_])(?:at|AT)\s+[A-Za-z0-9][\w-]*\s*(?:\.[A-Za-z]|[\[({]?\s*\b(?:dot|DOT)\b)")
 
 
 def _triggers(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches with a trait that every piece of personal information has, with the room it may take on either side."""
-    for m in _NAME.finditer(text):  # a capitalised word or initial, maybe particles, and another capital
-        if m.group(0) not in _NOT_GIVEN:
-            yield m.start() - 28, m.end(1) + 12
-    for m in _DIGITS.finditer(text):  # at least five digits with little between: phones, numbers and postcodes
+    """Stretches with a trait of personal information, with the room it may take on either side: two capitalised words or
+    initials, maybe particles between; five digits with little between; the sign of an address or its spellings."""
+    for m in _NAME.finditer(text):
+        yield m.start() - 28, m.end(1) + 12
+    if "\\" in text:
+        for m in _ACCENTED.finditer(text):
+            yield m.start() - 28, m.end() + 12
+    for m in _DIGITS.finditer(text):
         yield m.start() - 44, m.end() + 20
     for m in _SIGN.finditer(text):
         yield m.start() - 52, m.end() + 44
     if "char64" in text:
         for m in re.finditer("char64", text):
             yield m.start() - 52, m.end() + 44
-    for m in _BRACKETED.finditer(text):
-        yield m.start() - 52, m.end() + 60
-    for pattern in _SPELLED:
+    for pattern in (_BRACKETED, _SPELLED):
         for m in pattern.finditer(text):
-            if m.start() and not text[m.start() - 1].isalnum():
-                yield m.start() - 52, m.end() + 44
+            yield m.start() - 52, m.end() + 60
 
 
 def regions(text: str) -> list[tuple[int, int]]:

@@ -9,12 +9,13 @@ import numpy as np
 
 PAD, OTHER, BREAK, BLANK, UPPER, LOWER, DIGIT = range(7)
 _FIRST = 7
+_STEPS = 512  # table entries for a step of 1
 
 
 def _symbols() -> np.ndarray:
-    """The symbol of each code point below 0x250: digits alike, letters beyond ASCII by case, other ASCII its own."""
-    table = np.full(0x250, OTHER, np.uint8)
-    for code in range(0x250):
+    """The symbol of each code point below 0x2000: digits alike, letters beyond ASCII by case, other ASCII its own."""
+    table = np.full(0x2000, OTHER, np.uint8)
+    for code in range(0x2000):
         ch = chr(code)
         if ch == "\n":
             table[code] = BREAK
@@ -90,7 +91,7 @@ class Tagger:
                 ok[:, j] = [p[1:] == t[1:] for p in self.tags]
         return ok
 
-    def _direction(self, d: str, symbols: np.ndarray, keep: bool):
+    def _direction(self, d: str, symbols: np.ndarray):
         steps, width = symbols.shape
         h_size = self.hidden
         table, rec = self.weights[f"in_{d}"].copy(), self.weights[f"rec_{d}"].copy()
@@ -98,7 +99,7 @@ class Tagger:
         rec[:, : 3 * h_size] *= 0.5
         h, c = np.zeros((width, h_size), np.float32), np.zeros((width, h_size), np.float32)
         out = np.empty((steps, width, h_size), np.float32)
-        saved = (np.empty((steps, width, 4 * h_size), np.float32), np.empty((steps, width, h_size), np.float32)) if keep else None
+        saved = np.empty((steps, width, 4 * h_size), np.float32), np.empty((steps, width, h_size), np.float32)
         z = np.empty((width, 4 * h_size), np.float32)
         for t in range(steps):
             np.matmul(h, rec, out=z)
@@ -112,10 +113,47 @@ class Tagger:
             h = np.tanh(c)
             h *= z[:, 2 * h_size : 3 * h_size]
             out[t] = h
-            if keep:
-                saved[0][t], saved[1][t] = z, c
+            saved[0][t], saved[1][t] = z, c
         return out, saved
 
+    def _prepared(self, d: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Input table and recurrent matrix whose sums are places in a table of the gates' values, and both such tables."""
+        h = self.hidden
+        into, rec = self.weights[f"in_{d}"] * _STEPS, self.weights[f"rec_{d}"] * _STEPS
+        reach = int((np.abs(into).max(0) + np.abs(rec).sum(0)).max()) + 2  # no sum is beyond
+        x = (np.arange(-reach, reach + 1) / _STEPS).astype(np.float32)
+        into = into + np.float32(reach + 0.5)
+        into[:, 3 * h :] += len(x)
+        cells = np.tanh(np.arange(-8 * _STEPS, 8 * _STEPS + 1) / _STEPS).astype(np.float32)
+        return into.astype(np.float32), rec.astype(np.float32), np.concatenate([1 / (1 + np.exp(-x)), np.tanh(x)]).astype(np.float32), cells
+
+    def _read(self, d: str, symbols: np.ndarray) -> np.ndarray:
+        """The states of one direction as ``_direction`` has them, the gates' functions taken from tables."""
+        into, rec, gates, cells = self._prepared(d)
+        steps, width = symbols.shape
+        n = self.hidden
+        places = symbols.astype(np.intp)
+        h, c = np.zeros((width, n), np.float32), np.zeros((width, n), np.float32)
+        out = np.empty((steps, width, n), np.float32)
+        z, given, at = np.empty((width, 4 * n), np.float32), np.empty((width, 4 * n), np.float32), np.empty((width, 4 * n), np.intp)
+        new, cell_at = np.empty((width, n), np.float32), np.empty((width, n), np.intp)
+        for t in range(steps):
+            np.matmul(h, rec, out=z)
+            np.take(into, places[t], axis=0, out=given, mode="clip")
+            z += given
+            np.copyto(at, z, casting="unsafe")
+            np.take(gates, at, out=z, mode="clip")
+            c *= z[:, n : 2 * n]
+            np.multiply(z[:, :n], z[:, 3 * n :], out=new)
+            c += new
+            np.multiply(c, np.float32(_STEPS), out=new)
+            new += np.float32(8 * _STEPS + 0.5)
+            np.copyto(cell_at, new, casting="unsafe")
+            h = out[t]
+            np.take(cells, cell_at, out=h, mode="clip")
+            h *= z[:, 2 * n : 3 * n]
+        return out
+
     @staticmethod
     def _reversal(size: np.ndarray, steps: int) -> np.ndarray:
         at = size[None, :] - 1 - np.arange(steps)[:, None]
@@ -125,8 +163,11 @@ class Tagger:
         """Scores of the tags, time by text by tag; with ``keep`` also what the gradient needs."""
         steps = len(symbols)
         back = self._reversal(size, steps)
-        forth, saved_f = self._direction("f", symbols, keep)
-        behind, saved_b = self._direction("b", np.take_along_axis(symbols, back, 0), keep)
+        turned = np.take_along_axis(symbols, back, 0)
+        if keep:
+            (forth, saved_f), (behind, saved_b) = self._direction("f", symbols), self._direction("b", turned)
+        else:
+            forth, behind = self._read("f", symbols), self._read("b", turned)
         both = np.concatenate([forth, np.take_along_axis(behind, back[:, :, None], 0)], 2)
         scores = both @ self.weights["out"] + self.weights["bias"]
         return (scores, (symbols, back, forth, behind, both, saved_f, saved_b)) if keep else scores
@@ -140,11 +181,23 @@ class Tagger:
             symbols, size = encode_batch([texts[i] for i in some])
             if not len(symbols):
                 continue
-            paths = self._viterbi(self.scores(symbols, size), size)
+            scores = self.scores(symbols, size)
+            plain = self._only_outside(scores, size)
+            paths = np.zeros(symbols.shape, np.int8)
+            if not plain.all():
+                paths[:, ~plain] = self._viterbi(np.ascontiguousarray(scores[:, ~plain]), size[~plain])
             for k, i in enumerate(some):
                 out[i] = paths[: size[k], k]
         return out
 
+    def _only_outside(self, scores: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Texts whose best path has the first tag throughout: no other tag gains on it anywhere, even with the best moves."""
+        move, start = self.weights["move"], self.weights["start"]
+        moves = max(0.0, float(move.max() - move[0, 0]), float(start.max() - start[0]))
+        gain = (scores[:, :, 1:].max(2) - scores[:, :, 0] + 2 * moves).astype(np.float32)
+        gain[np.arange(len(scores))[:, None] >= size[None]] = -1
+        return (gain < 0).all(0)
+
     def _viterbi(self, scores: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The best paths; where each step came from is worked out again on the way back, for the taken states only."""
         steps, width, n = scores.shape
@@ -242,8 +295,18 @@ class Tagger:
         grad[f"in_{d}"], grad[f"rec_{d}"] = d_in, d_rec
 
 
-def train(tagger: Tagger, texts: Sequence[str], tags: Sequence[np.ndarray], epochs: int = 6, batch: int = 128, rate: float = 4e-3, seed: int = 0, report=None) -> Tagger:
-    """Fit by Adam on batches of texts of like length; the rate falls to a twentieth over the epochs."""
+def _gradient_of(given: tuple) -> tuple[int, float, dict[str, np.ndarray]]:
+    tags, weights, texts, golds = given
+    symbols, length = encode_batch(texts)
+    gold = np.zeros(symbols.shape, np.int64)
+    for c, some in enumerate(golds):
+        gold[: length[c], c] = some
+    return len(texts), *Tagger(tags, weights).loss_and_gradient(symbols, length, gold)
+
+
+def train(tagger: Tagger, texts: Sequence[str], tags: Sequence[np.ndarray], epochs: int = 6, batch: int = 128, rate: float = 4e-3, seed: int = 0, report=None, run=map, shares: int = 1) -> Tagger:
+    """Fit by Adam on batches of texts of like length; the rate falls to a twentieth over the epochs. ``run`` works out the
+    gradients of a batch's ``shares``, as ``map`` does or as a pool of processes does."""
     r = np.random.default_rng(seed)
     size = np.asarray([len(t) for t in texts])
     mean = {k: np.zeros_like(v) for k, v in tagger.weights.items()}
@@ -255,11 +318,10 @@ def train(tagger: Tagger, texts: Sequence[str], tags: Sequence[np.ndarray], epoc
         lost = 0.0
         for k in r.permutation(len(groups)):
             some = groups[k]
-            symbols, length = encode_batch([texts[i] for i in some])
-            gold = np.zeros(symbols.shape, np.int64)
-            for c, i in enumerate(some):
-                gold[: length[c], c] = tags[i]
-            loss, grad = tagger.loss_and_gradient(symbols, length, gold)
+            given = [(tagger.tags, tagger.weights, [texts[i] for i in part], [tags[i] for i in part]) for part in np.array_split(some, shares) if len(part)]
+            found = list(run(_gradient_of, given))
+            loss = sum(n * x for n, x, _ in found) / len(some)
+            grad = {name: sum(n * g[name] for n, _, g in found) / len(some) for name in found[0][2]}
             lost += loss
             step += 1
             norm = float(np.sqrt(sum((g * g).sum() for g in grad.values())))
