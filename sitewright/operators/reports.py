@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _labelled(result: DataFrame) -> DataFrame:
+    kinds = result.agg(F.countDistinct("chromosome").alias("names"), F.countDistinct("accession").alias("accessions"), F.count_if(F.col("chromosome").isNull() | (F.col("chromosome") == "nan")).alias("missing"))
+    named = (F.col("names") == F.col("accessions")) & (F.col("missing") == 0)
+    labelled = result.crossJoin(F.broadcast(kinds)).withColumn("label", F.when(named, F.col("chromosome")).otherwise(F.col("accession")))  # one row
+    return labelled.where(F.col("label").isNotNull()).drop("names", "accessions", "missing")
+
+
 def plot_labels(result: DataFrame) -> DataFrame:
     """(label, length): chromosomes if each has one accession and all are named, accessions otherwise.
 
     The length is the largest that the label's rows give, null if none does. Ties and repeated rows make no difference;
     an empty result has no labels.
     """
-    kinds = result.agg(F.countDistinct("chromosome").alias("names"), F.countDistinct("accession").alias("accessions"), F.count_if(F.col("chromosome").isNull() | (F.col("chromosome") == "nan")).alias("missing"))
-    named = (F.col("names") == F.col("accessions")) & (F.col("missing") == 0)
-    labelled = result.crossJoin(F.broadcast(kinds)).withColumn("label", F.when(named, F.col("chromosome")).otherwise(F.col("accession")))  # one row
-    return labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.max("chromosome_length").alias("length"))
+    return _labelled(result).groupBy("label").agg(F.max("chromosome_length").alias("length"))
 
 
-def plot_segments(result: DataFrame, labels: DataFrame, label: str = "accession") -> DataFrame:
-    """One upright stroke a site: x, y from 0.25 below to 0.25 above its label's line, and the flanking genes."""
-    lines = labels.withColumn("line", F.row_number().over(Window.orderBy("label")) - 0.5)  # as many rows as labels
-    met = result.join(lines.select(F.col("label").alias(label), "line"), label)
+def plot_segments(result: DataFrame) -> DataFrame:
+    """One upright stroke a site: x, y from 0.25 below to 0.25 above the line of the label that ``plot_labels`` chooses,
+    the site's id and guide, and the flanking genes. Lines are counted from the first label by name."""
+    labelled = _labelled(result)
+    lines = labelled.select("label").distinct().withColumn("line", F.row_number().over(Window.orderBy("label")) - 0.5)  # one row a chromosome
     genes = F.concat_ws(",", F.coalesce("left_gene", F.lit("-")), F.coalesce("right_gene", F.lit("-")))
-    return met.select("site_id", label, F.col("site_location").alias("x"), (F.col("line") - 0.25).alias("y0"), (F.col("line") + 0.25).alias("y1"), genes.alias("genes"))
+    met = labelled.join(lines, "label")
+    return met.select("site_id", "label", "guide", F.col("site_location").alias("x"), (F.col("line") - 0.25).alias("y0"), (F.col("line") + 0.25).alias("y1"), genes.alias("genes"))
 
 
 def long_form(df: DataFrame, key: str, means: Sequence[str], deviations: Sequence[str]) -> DataFrame:

@@ -16,7 +16,9 @@ from sitewright.params import SiteParams
 
 _SITES = "site string, accession string, location bigint, strand string, chrom_length bigint, left_arm string, right_arm string"
 _COMPLEMENT = bytes.maketrans(b"ACGTMRWSYKVHDBN", b"TGCAKYWSRMBDHVN")
+_TILES = "accession string, begin bigint, low bigint, high bigint, chrom_length bigint, seq string"
 _CHUNK = 20_000
+TILE = 1_000_000
 
 
 def _cut(letters: np.ndarray, starts: np.ndarray, size: int) -> pa.Array:
@@ -33,34 +35,91 @@ def _arm(letters: np.ndarray, starts: np.ndarray, there: np.ndarray, size: int)
     return found.take(pa.array(places, mask=~there))
 
 
-def _scan(params: SiteParams):
+def _tiles(params: SiteParams, size: int):
+    """Stretches of ``size`` letters and a few more, so that no match of a PAM on either strand lies across their ends.
+
+    Then the matches that do not overlap, counted from one end of the contig, are the same in each stretch alone.
+    """
+    margin = params.guide_length + 2 * len(params.pam) + params.arm_length + 1
+    across = len(params.pam) - 1
+    pams = [p.encode() for p in params.pams]
+    both = re.compile(b"|".join({*pams, *(p.translate(_COMPLEMENT)[::-1] for p in pams)}))
+
+    def seam(text: bytes, at: int) -> int:
+        while 0 < at < len(text) and any(both.match(text, i) for i in range(max(0, at - across), at)):
+            at += 1
+        return at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for accession, seq in zip(batch.column("accession"), batch.column("seq"), strict=True):
+                text, low = seq.as_py().encode(), 0
+                while low < len(text):
+                    high = seam(text, min(len(text), low + size))
+                    begin = max(0, low - margin)
+                    part = text[begin : high + margin]
+                    yield pa.RecordBatch.from_arrays([pa.array([accession.as_py()], pa.string()), *(pa.array([x], pa.int64()) for x in (begin, low, high, len(text))), pa.array([part.decode()])], ["accession", "begin", "low", "high", "chrom_length", "seq"])
+                    low = high
+
+    return run
+
+
+def _scan(params: SiteParams, arms: bool):
     glen, plen, arm = params.guide_length, len(params.pam), params.arm_length
     patterns = [re.compile((f"(?={p})" if params.overlap == "all" else p).encode()) for p in params.pams]
     before = glen if params.orientation == "3prime" else 0
 
+    def found(row: dict) -> Iterator[pa.RecordBatch]:
+        top, length = row["seq"].encode(), row["chrom_length"]
+        for strand in "+-":
+            # the stretch, its own part, and its first letter's place on the strand
+            seq, low, high, first = top, row["low"] - row["begin"], row["high"] - row["begin"], row["begin"]
+            if strand == "-":
+                seq, low, high, first = top.translate(_COMPLEMENT)[::-1], len(top) - high, len(top) - low, length - row["begin"] - len(top)
+            letters = np.frombuffer(seq, np.uint8)
+            for pattern in patterns:
+                reach = min(len(seq), high + plen - 1) if params.overlap == "all" else high
+                at = np.fromiter((m.start() - before for m in pattern.finditer(seq, low, reach)), np.int64)
+                location = at + first
+                at = at[(location >= 0) & (location < length - glen - plen)]
+                for k in range(0, len(at), _CHUNK):
+                    loc = at[k : k + _CHUNK]
+                    n, location = len(loc), loc + first
+                    left, right = location - arm > 0, location + glen + plen + arm < length
+                    both = [_arm(letters, loc - arm, left, arm), _arm(letters, loc + glen + plen, right, arm)] if arms else [pa.nulls(n, pa.string())] * 2
+                    yield pa.RecordBatch.from_arrays(
+                        [_cut(letters, loc, glen + plen), pa.array([row["accession"]] * n, pa.string()), pa.array(location), pa.array([strand] * n), pa.array(np.full(n, length)), *both],
+                        ["site", "accession", "location", "strand", "chrom_length", "left_arm", "right_arm"],
+                    )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for accession, text in zip(batch.column("accession"), batch.column("seq"), strict=True):
-                top = text.as_py().encode()
-                for strand, seq in (("+", top), ("-", top.translate(_COMPLEMENT)[::-1])):
-                    letters = np.frombuffer(seq, np.uint8)
-                    for pattern in patterns:
-                        at = np.fromiter((m.start() - before for m in pattern.finditer(seq)), np.int64)
-                        at = at[(at >= 0) & (at < len(seq) - glen - plen)]
-                        for k in range(0, len(at), _CHUNK):
-                            loc = at[k : k + _CHUNK]
-                            n = len(loc)
-                            left = loc - arm > 0
-                            right = loc + glen + plen + arm < len(seq)
-                            yield pa.RecordBatch.from_arrays(
-                                [_cut(letters, loc, glen + plen), pa.array([accession.as_py()] * n, pa.string()), pa.array(loc), pa.array([strand] * n), pa.array(np.full(n, len(seq))), _arm(letters, loc - arm, left, arm), _arm(letters, loc + glen + plen, right, arm)],
-                                ["site", "accession", "location", "strand", "chrom_length", "left_arm", "right_arm"],
-                            )
+            for n in range(batch.num_rows):
+                yield from found(batch.slice(n, 1).to_pylist()[0])
 
     return run
 
 
-def find_sites(contigs: DataFrame, params: SiteParams) -> DataFrame:
+def site_tiles(contigs: DataFrame, params: SiteParams, size: int = TILE) -> DataFrame:
+    """Stretches (accession, begin, low, high, chrom_length, seq) of about ``size`` letters of the contigs (accession,
+    seq in capitals), with the letters around them that a site's arms reach.
+
+    A long contig so spreads over as many tasks as it has stretches. This is the one exchange of sequences of a search.
+    Null and empty sequences give nothing, a repeated contig gives its stretches again.
+    """
+    parts = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the scan costs far more than the bytes tell
+    tiles = contigs.where(F.length("seq") > 0).select("accession", "seq").mapInArrow(_tiles(params, size), _TILES)
+    return tiles.repartition(parts, "accession", "begin")
+
+
+def sites_of(tiles: DataFrame, params: SiteParams, arms: bool = True) -> DataFrame:
+    """The sites of ``site_tiles``, as ``find_sites`` has them; without ``arms`` these are null."""
+    found = tiles.mapInArrow(_scan(params, arms), _SITES)
+    guide, pam = split_site(F.col("site"), params.guide_length, len(params.pam), params.orientation)
+    return found.select("site", guide.alias("guide"), pam.alias("pam"), "accession", "location", "strand", "chrom_length", "left_arm", "right_arm")
+
+
+def find_sites(contigs: DataFrame, params: SiteParams, size: int = TILE) -> DataFrame:
     """Every guide beside a PAM on both strands, with the arms around it.
 
     ``contigs`` has columns accession and seq (capitals). Matches of one concrete PAM do not overlap, unless
@@ -70,9 +129,7 @@ def find_sites(contigs: DataFrame, params: SiteParams) -> DataFrame:
     left_arm, right_arm.
     """
     params.check()
-    found = contigs.where(F.length("seq") > 0).select("accession", "seq").mapInArrow(_scan(params), _SITES)
-    guide, pam = split_site(F.col("site"), params.guide_length, len(params.pam), params.orientation)
-    return found.select("site", guide.alias("guide"), pam.alias("pam"), "accession", "location", "strand", "chrom_length", "left_arm", "right_arm")
+    return sites_of(site_tiles(contigs, params, size), params)
 
 
 def guide_library(sites: DataFrame) -> DataFrame:

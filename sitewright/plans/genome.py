@@ -8,25 +8,36 @@ from pyspark.sql import functions as F
 from sitewright.functions.sequences import letters
 from sitewright.operators.latest import latest_by_key
 from sitewright.params import SiteParams
+from sitewright.plans.stage import cut
 from sitewright.sources.files import without_organelles
 from sitewright.sources.tables import table
 
 #: Contigs of the given tables are short, so the distances are too.
 PARAMS = SiteParams(seed_length=10, intergenic_space=30, distal_end=60, arm_length=50, density_length=500, edit_distance=4)
 
+BROADCAST_ROWS = 200_000
+
 
 def genome(spark: SparkSession, directory: str) -> DataFrame:
-    """One record (accession, seq, chrom_length) a contig: its latest delivery, without organelles and layout."""
-    records = without_organelles(table(spark, directory, "contigs")).select(F.upper(F.trim("accession")).alias("accession"), "loaded_at", letters(F.col("seq")).alias("seq"))
+    """One record (accession, seq, chrom_length) a contig: its latest delivery with any letters, without organelles and
+    layout; of deliveries at one time the one with the greatest digest. An empty delivery does not replace an earlier one.
+
+    The delivery is chosen by time and digest and found again by its place in the files, so no sequence is shuffled.
+    """
+    places = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    records = without_organelles(table(spark, directory, "contigs")).select(F.upper(F.trim("accession")).alias("accession"), "loaded_at", letters(F.col("seq")).alias("seq"), *places)
     known = records.where(F.col("accession").isNotNull() & (F.length("seq") > 0))
-    latest = latest_by_key(known, "accession", "loaded_at", ["seq"], int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return latest.select("accession", "seq", F.length("seq").cast("bigint").alias("chrom_length"))
+    newest = known.groupBy("accession").agg(F.max(F.struct("loaded_at", F.md5("seq").alias("digest"), "file", "row")).alias("m"))
+    newest = cut(newest.select("m.file", "m.row"))
+    if newest.count() <= BROADCAST_ROWS:  # some 100 bytes each
+        newest = F.broadcast(newest)
+    return known.join(newest, ["file", "row"], "left_semi").select("accession", "seq", F.length("seq").cast("bigint").alias("chrom_length"))
 
 
 GENOME_SQL = """
 records as (select upper(trim(accession)) as accession, loaded_at, upper(regexp_replace(seq, '[^A-Za-z]', '', 'g')) as seq
             from contigs where not coalesce(regexp_matches(description, 'mitochondrion|plastid|chloroplast'), false)),
-newest as (select *, row_number() over (partition by accession order by loaded_at desc nulls last, seq desc) as rn from records where accession is not null and length(seq) > 0),
+newest as (select *, row_number() over (partition by accession order by loaded_at desc nulls last, md5(seq) desc) as rn from records where accession is not null and length(seq) > 0),
 genome as (select accession, seq, cast(length(seq) as bigint) as chrom_length from newest where rn = 1)"""
 
 

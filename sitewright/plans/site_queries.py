@@ -63,8 +63,8 @@ def filtered_arms(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _annotated(spark: SparkSession, directory: str, only_free: bool) -> DataFrame:
-    contigs = genome(spark, directory)
-    kept, _ = candidate_sites(contigs, PARAMS)
+    contigs = cut(genome(spark, directory))  # for its sequences and for its lengths
+    kept, _ = candidate_sites(contigs, PARAMS, arms=False)
     return annotate_sites(kept, genes(features(spark, directory)), contigs, PARAMS.intergenic_space, PARAMS.density_length, only_free)
 
 
@@ -120,10 +120,18 @@ def self_complements(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def result_table(spark: SparkSession, directory: str) -> DataFrame:
-    contigs, rows = genome(spark, directory), features(spark, directory)
+    contigs, rows = cut(genome(spark, directory)), features(spark, directory)
     return numbered(neutral_sites(contigs, rows, genes(rows), PARAMS)).drop("x").withColumn("on_target_score", F.round("on_target_score", 9))
 
 
+def zoned_result(spark: SparkSession, directory: str) -> DataFrame:
+    """The result with its zones, without the comparison with the library."""
+    contigs, rows = cut(genome(spark, directory)), features(spark, directory)
+    params = replace(PARAMS, edit_distance=0)
+    found = neutral_sites(contigs, rows, genes(rows), params, zones=_zones(spark, directory))
+    return found.select("guide_sequence", "pam", "accession", "site_location", "strand", "zone")
+
+
 def good_hits(spark: SparkSession, directory: str) -> DataFrame:
     return hits(spark, directory).where((F.col("e_value") < 1e-5) & (F.col("pc_identity") >= 50))
 
@@ -145,7 +153,7 @@ def essential_zones(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def zoned_sites(spark: SparkSession, directory: str) -> DataFrame:
-    kept, _ = candidate_sites(genome(spark, directory), PARAMS)
+    kept, _ = candidate_sites(genome(spark, directory), PARAMS, arms=False)
     return sites_in_zones(kept, _zones(spark, directory)).select("accession", "location", "strand", "zone")
 
 
@@ -238,7 +246,7 @@ QUERIES = {
     "s1_genome_records": genome_records, "s3_feature_table": feature_table, "s5_good_hits": good_hits, "g2_site_scan": site_scan, "a1_guide_library": library_counts, "flt_p2p6_unique_guides": unique_candidates,
     "flt_p3p4p5_guides": filtered_guides, "f16_homology_arms": arms, "flt_p9p10_arms": filtered_arms, "w1_flanking_genes": flanking_genes, "flt_p8_intergenic": intergenic_sites, "a3_gene_density": gene_density,
     "j7_chromosome_names": chromosome_lookup, "flt_p12p13_distal": distal_and_known, "j3_similar_guides": near_guides, "o4_three_nearest": three_nearest, "a5_mismatch_counts": off_target_classes,
-    "m1_rule_scores": rule_scores, "f7_self_complementarity": self_complements, "j9_essential_genes": essential_genes, "w2w5_essential_zones": essential_zones, "j11_zoned_sites": zoned_sites, "result_neutral_sites": result_table,
+    "m1_rule_scores": rule_scores, "f7_self_complementarity": self_complements, "j9_essential_genes": essential_genes, "w2w5_essential_zones": essential_zones, "j11_zoned_sites": zoned_sites, "result_neutral_sites": result_table, "result_zones": zoned_result,
 }
 SQL = {
     "s1_genome_records": f"with {GENOME_SQL} select accession, chrom_length, md5(seq) as digest, 100.0 * length(regexp_replace(seq, '[^GCS]', '', 'g')) / length(seq) as gc from genome",
@@ -259,6 +267,9 @@ SQL = {
     "j3_similar_guides": f"{_ASKED}, {_near_sql(PARAMS.edit_distance)} select x.guide, y.guide as other, distance from near join asked x on x.code = a join known y on y.code = b",
     "a5_mismatch_counts": f"{_ASKED}, {_near_sql(CLASSES)}, n as (select a, " + ", ".join(f"count(*) filter (distance = {d}) as n{d}" for d in range(1, CLASSES + 1)) + " from near group by a) select guide, cast(1 as bigint) as mm0, " + ", ".join(f"coalesce(n{d}, 0) as mm{d}" for d in range(1, CLASSES + 1)) + " from asked left join n on a = code",
     "result_neutral_sites": _RESULT,
+    "result_zones": f"""{_ZONES}, {_CAND} select c.guide as guide_sequence, c.pam, c.accession,
+        case when c.strand = '+' then c.location else c.chrom_length - c.location - {G + P} end as site_location, c.strand, z.zone from cand c left join zones z on z.accession = c.accession and z.low < c.x and c.x < z.high
+        where c.accession in (select accession from features) and location >= {PARAMS.distal_end} and location <= chrom_length - {PARAMS.distal_end} and {_FREE}""",
     "m1_rule_scores": f"{_BASE}, w as (select *, {_WINDOW} as w from sites where left_arm is not null and right_arm is not null) select accession, location, strand, pam, w as window, round(1 / (1 + exp(-({RULE_INTERCEPT} + {RULE_LOW_GC} + {_RULES}))), 9) as score from w",
     "f7_self_complementarity": f"""{_BASE} select guide, cast(len([j for j in range(0, {G - 4}) if regexp_matches(substr(guide, j + 1, 4), '[GCS]') and contains(substr({_RC}, 1, {G - 5} - j), substr(guide, j + 1, 4))]) as integer) as stems,
         100.0 * length(regexp_replace(guide, '[^GCS]', '', 'g')) / length(guide) as gc from library""",

@@ -13,11 +13,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder and read from there.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is only made where none
-    is set, as in tests. Partitioning and the order inside partitions stay as they are.
+    is set and all executors are this machine's, as in tests. Partitioning and the order inside partitions stay.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 

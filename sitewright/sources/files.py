@@ -88,9 +88,10 @@ def write_fasta(df: DataFrame, path: str, key: str, seq: str) -> None:
     df.select(F.concat(F.lit(">"), F.col(key), F.lit("\n"), F.col(seq)).alias("value")).where(F.col("value").isNotNull()).write.text(path)
 
 
-def write_result(df: DataFrame, path: str, files: int = 1) -> None:
-    """A CSV with column names, '-' for nulls."""
-    df.coalesce(files).write.csv(path, header=True, nullValue="-", emptyValue="")
+def write_result(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """CSV files with column names, '-' for nulls; with ``order`` sorted over all files, whose names follow it."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    rows.write.csv(path, header=True, nullValue="-", emptyValue="")
 
 
 def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:

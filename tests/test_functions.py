@@ -135,8 +135,10 @@ def test_reports(spark):
     assert sorted(map(tuple, plot_labels(df).collect())) == [("chr1", 10), ("chr2", 20)]
     unnamed = spark.createDataFrame([*rows, (4, "nan", "c", 5, 1, None, None)], shape)
     assert sorted(map(tuple, plot_labels(unnamed).collect())) == [("a", 10), ("b", 20), ("c", 5)] and plot_labels(df.limit(0)).collect() == []
-    lines = {r.site_id: (r.x, r.y0, r.y1, r.genes) for r in plot_segments(df, plot_labels(unnamed)).collect()}
-    assert lines == {1: (5, 0.25, 0.75, "x,-"), 2: (6, 1.25, 1.75, "-,-"), 3: (7, 1.25, 1.75, "y,z")}
+    lines = {r.site_id: (r.label, r.guide, r.x, r.y0, r.y1, r.genes) for r in plot_segments(unnamed.withColumn("guide", F.lit("G"))).collect()}
+    assert lines == {1: ("a", "G", 5, 0.25, 0.75, "x,-"), 2: ("b", "G", 6, 1.25, 1.75, "-,-"), 3: ("b", "G", 7, 1.25, 1.75, "y,z"), 4: ("c", "G", 1, 2.25, 2.75, "-,-")}
+    named = plot_segments(df.withColumn("guide", F.lit("G"))).collect()
+    assert {r.site_id: (r.label, r.y0) for r in named} == {1: ("chr1", 0.25), 2: ("chr2", 1.25), 3: ("chr2", 1.25)}
     wide = spark.createDataFrame([("s", 1.0, 2.0, 3.0, 4.0)], "k string, a double, b double, da double, db double")
     assert sorted(map(tuple, long_form(wide, "k", ["a", "b"], ["da", "db"]).collect())) == [("s", "a", 1.0, 3.0), ("s", "b", 2.0, 4.0)]
     assert tuple(row_statistics(wide, "k", ["a", "da"]).first()) == ("s", 2.0, 1.0)

@@ -4,16 +4,17 @@ import random
 import re
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sitewright.operators.genes import annotate_sites, gaps_between, numbered_zones, sites_in_zones
 from sitewright.operators import offtarget
 from sitewright.operators.offtarget import best_blocks, histogram_over_runs, mismatch_counts, nearest_guides, nearest_library_guide, similar_guides, specific_guides
-from sitewright.operators.sites import find_sites, guide_library, unique_guides
+from sitewright.operators.sites import find_sites, guide_library, site_tiles, unique_guides
 from sitewright.params import SiteParams, expand, motif_list
 from sitewright.plans import site_queries
-from sitewright.plans.pipeline import neutral_sites, numbered
+from sitewright.plans.pipeline import Scorer, network_scorer, neutral_sites, numbered
 
 SMALL = SiteParams(distal_end=50, intergenic_space=30, density_length=500, edit_distance=3)
 PAIRS = str.maketrans("ACGTN", "TGCAN")
@@ -41,6 +42,28 @@ def test_scan_equals_plain_search(spark, params):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+@pytest.mark.parametrize("params", [SMALL, replace(SMALL, overlap="all"), replace(SMALL, orientation="5prime", pam="TTTV", guide_length=23), replace(SMALL, pam="GGG")])
+def test_tiles_equal_the_plain_scan(spark, params):
+    """Seams fall into runs of one letter, near ends and into sites; arms reach over them."""
+    r = random.Random(6)
+    contigs = [(f"c{i}", "".join(r.choice(("ACGT", "G" * 9, "C" * 7, "T" * 8, "ACGT")[r.randrange(5)]) * r.choice((1, 1, 1, 9)) for _ in range(n))) for i, n in enumerate((5, 60, 900))]
+    df = spark.createDataFrame(contigs, "accession string, seq string")
+    whole = sorted(map(str, find_sites(df, params).collect()))
+    assert len(whole) > 50 and site_tiles(df, params, 64).count() > 20
+    for size in (1, 37, 64, 500):
+        assert sorted(map(str, find_sites(df, params, size).collect())) == whole
+    if params.overlap == "reference":
+        rows = {tuple(x) for x in find_sites(df, params, 64).select("site", "accession", "location", "strand").collect()}
+        assert rows == set().union(*(scan(a, s, params) for a, s in contigs))
+
+
+def test_long_contig_spreads_over_tasks(spark):
+    r = random.Random(7)
+    df = spark.createDataFrame([("long", "".join(r.choice("ACGT") for _ in range(400_000)))], "accession string, seq string")
+    tiles = site_tiles(df, SMALL, 10_000)
+    assert tiles.select(F.spark_partition_id()).distinct().count() == 4 and tiles.agg(F.max(F.length("seq"))).first()[0] < 10_200
+
+
 def test_runs_and_ends(spark):
     def places(seq, **more):
         df = spark.createDataFrame([("c", seq)], "accession string, seq string")
@@ -243,6 +266,25 @@ def test_zones(spark):
     assert {(r.accession, r.x): r.zone for r in sites_in_zones(sites, zones, 700).collect()} == {("n", 1500): 3, ("n", 2000): None, ("n", 0): None, ("e", 5): 5, ("u", 5): None}
 
 
+def test_scorers_and_zones(spark):
+    r = random.Random(4)
+    genome = spark.createDataFrame([("c", "".join(r.choice("ACGT") for _ in range(3000)), 3000)], "accession string, seq string, chrom_length bigint")
+    features = spark.createDataFrame([("c", "chr", 1)], "accession string, name string, feature_row bigint")
+    genes = spark.createDataFrame([("c", 900, 1000, "+", "g")], "accession string, start bigint, stop bigint, strand string, tag string")
+    zones = spark.createDataFrame([("c", 0, 900, 1), ("c", 1000, 3000, 2)], "accession string, low bigint, high bigint, zone bigint")
+    size = Scorer(lambda df, window, name: df.withColumn(name, F.length(window).cast("double")), "TTTV", "5prime", 27)
+    params = replace(SMALL, pam="TTTV", orientation="5prime")
+    rows = neutral_sites(genome, features, genes, params, size, zones=zones).collect()
+    assert rows and {x.on_target_score for x in rows if x.left_hr and x.right_hr} == {32.0}
+    assert all(x.zone == (1 if x.x < 900 else 2) for x in rows)
+    assert {x.on_target_score for x in neutral_sites(genome, features, genes, params).collect()} == {None}  # the rule set is for NGG
+    plain = {"conv1_kernel": (3, 4, 2), "conv2_kernel": (3, 2, 2), "dense1_kernel": (16, 1)}
+    weights = {k: np.ones(shape, np.float32) for k, shape in plain.items()} | {"conv1_bias": np.zeros(2, np.float32), "conv2_bias": np.zeros(2, np.float32), "dense1_bias": np.zeros(1, np.float32)}
+    weights |= {f"norm{n}_{k}": np.full(2, v, np.float32) for n in (1, 2) for k, v in (("scale", 1), ("shift", 0), ("mean", 0), ("variance", 1))}
+    scores = [x.on_target_score for x in neutral_sites(genome, features, genes, params, network_scorer(weights, "5prime")).collect() if x.left_hr and x.right_hr]
+    assert scores and all(s is not None and s < 0 for s in scores)
+
+
 def test_result_has_no_near_guides(spark):
     r = random.Random(2)
     genome = spark.createDataFrame([(f"c{i}", "".join(r.choice("ACGT") for _ in range(2000)), 2000) for i in range(3)], "accession string, seq string, chrom_length bigint")
