@@ -54,7 +54,7 @@ def examples(texts: Sequence[str], refills: int = 0, names_kept: float = 1.0, se
     """Windows with their tags, equal windows once: each text as it is, and ``refills`` times with its spans refilled.
 
     The rare kinds, and windows with digits that are no case, come with every refill. Of the windows that hold names or
-    nothing, a share of ``names_kept`` is taken from the first two copies only.
+    nothing, a share of ``names_kept`` is taken from the text as it is and its first refill only.
     """
     r = random.Random(seed)
     seen: dict[str, np.ndarray] = {}
