@@ -69,33 +69,48 @@ def _scan(params: SiteParams, arms: bool):
     patterns = [re.compile((f"(?={p})" if params.overlap == "all" else p).encode()) for p in params.pams]
     before = glen if params.orientation == "3prime" else 0
 
-    def found(row: dict) -> Iterator[pa.RecordBatch]:
+    def places(row: dict) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """Of each strand of a stretch its letters, and of its sites the places in them and on the contig's strand."""
         top, length = row["seq"].encode(), row["chrom_length"]
         for strand in "+-":
             # the stretch, its own part, and its first letter's place on the strand
             seq, low, high, first = top, row["low"] - row["begin"], row["high"] - row["begin"], row["begin"]
             if strand == "-":
                 seq, low, high, first = top.translate(_COMPLEMENT)[::-1], len(top) - high, len(top) - low, length - row["begin"] - len(top)
-            letters = np.frombuffer(seq, np.uint8)
-            for pattern in patterns:
-                reach = min(len(seq), high + plen - 1) if params.overlap == "all" else high
-                at = np.fromiter((m.start() - before for m in pattern.finditer(seq, low, reach)), np.int64)
-                location = at + first
-                at = at[(location >= 0) & (location < length - glen - plen)]
-                for k in range(0, len(at), _CHUNK):
-                    loc = at[k : k + _CHUNK]
-                    n, location = len(loc), loc + first
-                    left, right = location - arm > 0, location + glen + plen + arm < length
-                    both = [_arm(letters, loc - arm, left, arm), _arm(letters, loc + glen + plen, right, arm)] if arms else [pa.nulls(n, pa.string())] * 2
-                    yield pa.RecordBatch.from_arrays(
-                        [_cut(letters, loc, glen + plen), pa.array([row["accession"]] * n, pa.string()), pa.array(location), pa.array([strand] * n), pa.array(np.full(n, length)), *both],
-                        ["site", "accession", "location", "strand", "chrom_length", "left_arm", "right_arm"],
-                    )
+            reach = min(len(seq), high + plen - 1) if params.overlap == "all" else high
+            at = np.fromiter((m.start() for pattern in patterns for m in pattern.finditer(seq, low, reach)), np.int64) - before
+            location = at + first
+            kept = (location >= 0) & (location < length - glen - plen)
+            yield seq, at[kept], location[kept]
+
+    def found(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        parts = [part for row in rows for part in places(row)]
+        ends = np.cumsum([len(seq) for seq, _, _ in parts])
+        letters = np.frombuffer(b"".join(seq for seq, _, _ in parts), np.uint8)
+        at = np.concatenate([at + end - len(seq) for (seq, at, _), end in zip(parts, ends, strict=True)])
+        location = np.concatenate([location for _, _, location in parts])
+        part = np.repeat(np.arange(len(parts)), [len(at) for _, at, _ in parts])  # two strands a stretch
+        accessions, strands = pa.array([row["accession"] for row in rows], pa.string()), pa.array(["+", "-"])
+        lengths = np.array([row["chrom_length"] for row in rows], np.int64)
+        for k in range(0, len(at), _CHUNK):
+            loc, place, strand = at[k : k + _CHUNK], location[k : k + _CHUNK], part[k : k + _CHUNK]
+            length = lengths[strand // 2]
+            left, right = place - arm > 0, place + glen + plen + arm < length
+            both = [_arm(letters, loc - arm, left, arm), _arm(letters, loc + glen + plen, right, arm)] if arms else [pa.nulls(len(loc), pa.string())] * 2
+            yield pa.RecordBatch.from_arrays(
+                [_cut(letters, loc, glen + plen), accessions.take(pa.array(strand // 2)), pa.array(place), strands.take(pa.array(strand % 2)), pa.array(length), *both],
+                ["site", "accession", "location", "strand", "chrom_length", "left_arm", "right_arm"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for n in range(batch.num_rows):
-                yield from found(batch.slice(n, 1).to_pylist()[0])
+                rows += batch.slice(n, 1).to_pylist()
+                held += len(rows[-1]["seq"])
+                if held >= TILE or n + 1 == batch.num_rows:
+                    yield from found(rows)
+                    rows, held = [], 0
 
     return run
 
