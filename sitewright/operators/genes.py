@@ -8,73 +8,82 @@ from pyspark.sql.window import Window
 
 from sitewright.functions.sequences import relative_orientation
 
-BIN = 10_000
+BIN = 1_000
 
 
 def _bin(position: Column, size: int) -> Column:
     return F.floor(position / size).cast("bigint")
 
 
-def _ranked(genes: DataFrame, size: int) -> DataFrame:
-    """Genes with ``rank``: their place from 0 by start, stop and tag in the accession.
+def _summed(steps: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """``steps`` (accession, at, ``columns``), one row a place, with the sums up to each place, and ``bin``.
 
-    Ranks are counted within bins of the start and added to the number of genes in the bins before, so no accession's
-    genes have to be sorted in one task.
+    Sums run within stretches of ``size`` bases, of at most ``size`` places, and start from those of the stretches before.
     """
-    binned = genes.withColumn("bin", _bin(F.col("start"), size))
-    counts = binned.groupBy("accession", "bin").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("accession").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    inside = F.row_number().over(Window.partitionBy("accession", "bin").orderBy("start", "stop", "tag", "strand"))
-    counts = counts.select("accession", "bin", F.coalesce(before, F.lit(0)).alias("before"))
-    return binned.join(counts, ["accession", "bin"]).withColumn("rank", F.col("before") + inside - 1).drop("bin", "before")
+    binned = steps.withColumn("bin", _bin(F.col("at"), size))
+    totals = binned.groupBy("accession", "bin").agg(*(F.sum(c).alias(c) for c in columns))
+    earlier = Window.partitionBy("accession").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("accession", "bin", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in columns))
+    inside = Window.partitionBy("accession", "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    met = binned.join(totals, ["accession", "bin"])
+    return met.withColumns({c: F.sum(c).over(inside) + F.col(f"{c}_before") for c in columns}).drop(*(f"{c}_before" for c in columns))
 
 
-def gene_bins(genes: DataFrame, contigs: DataFrame, space: int, window: int, size: int = BIN) -> DataFrame:
-    """One row (accession, bin) for every stretch of ``size`` bases of the contigs (accession, chrom_length).
+def _ranked(genes: DataFrame, size: int) -> DataFrame:
+    """Genes with ``rank``: their place from 0 by start, stop and tag in the accession.
 
-    It holds what a site in the stretch needs: ``near`` (start and stop of the genes within ``space`` or ``window`` of
-    it), ``stops`` (the stops in it) and ``stops_before`` (their number in earlier stretches), and for the accession
-    ``n_genes``, ``first_start`` and ``last_stop`` (the stop of the last gene by start), null where it has no genes.
+    Genes are counted by start and the counts added up, so only genes of one start have to be sorted in one task.
     """
-    reach = max(space, window) + 1
-    low, high = _bin(F.col("start") - reach, size), _bin(F.col("stop") + reach, size)
-    near = genes.select("accession", "start", "stop", F.explode(F.sequence(low, high)).alias("bin"))
-    near = near.groupBy("accession", "bin").agg(F.collect_list(F.struct("start", "stop")).alias("near"))
-    stops = genes.groupBy("accession", _bin(F.col("stop"), size).alias("bin")).agg(F.collect_list("stop").alias("stops"))
-    ends = genes.groupBy("accession").agg(F.count("*").alias("n_genes"), F.min("start").alias("first_start"), F.max(F.struct("start", "stop")).getField("stop").alias("last_stop"))
-    bins = contigs.select("accession", F.explode(F.sequence(F.lit(0).cast("bigint"), _bin(F.col("chrom_length"), size))).alias("bin"))
-    bins = bins.join(stops, ["accession", "bin"], "left").withColumn("stops", F.coalesce("stops", F.array().cast("array<bigint>")))
-    before = F.sum(F.size("stops")).over(Window.partitionBy("accession").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.withColumn("stops_before", F.coalesce(before, F.lit(0)))
-    return bins.join(near, ["accession", "bin"], "left").join(ends, "accession", "left")
-
-
-def _beside(sites: DataFrame, bins: DataFrame, size: int) -> DataFrame:
-    return sites.withColumn("bin", _bin(F.col("x"), size)).join(bins, ["accession", "bin"], "left")
-
+    counts = genes.groupBy("accession", F.col("start").alias("at")).agg(F.count("*").alias("n"))
+    up_to = _summed(counts, ["n"], size).select("accession", F.col("at").alias("start"), "n")
+    same = Window.partitionBy("accession", "start")
+    inside = F.row_number().over(same.orderBy("stop", "tag", "strand"))
+    return genes.join(up_to, ["accession", "start"]).withColumn("rank", F.col("n") - F.count("*").over(same) + inside - 1).drop("n")
 
-def _free(space: int) -> Column:
-    """No gene has the site inside or nearer than ``space``."""
-    inside = F.exists("near", lambda g: (g["start"] - space < F.col("x")) & (F.col("x") < g["stop"] + space))
-    return ~F.coalesce(inside, F.lit(False))
 
+def _left_rank(x: Column) -> Column:
+    """Rank of the gene that counts as the left neighbour, from the number of stops before ``x``; null for none."""
+    return F.when(x >= F.col("first_start"), F.when(x > F.col("last_stop"), F.col("n_genes") - 1).when(F.col("passed") > 0, F.col("passed") - 1))
 
-def _density(window: int) -> Column:
-    """Genes that lie whole between ``window`` bases before and after the site; null where the contig has no genes."""
-    low, high = F.greatest(F.lit(0), F.col("x") - window), F.least(F.col("chrom_length"), F.col("x") + window)
-    inside = F.size(F.filter(F.coalesce("near", F.array().cast("array<struct<start:bigint,stop:bigint>>")), lambda g: (g["start"] > low) & (g["stop"] < high)))
-    return F.when(F.col("n_genes").isNotNull(), inside)
 
+def _right_rank(x: Column) -> Column:
+    return F.when(x < F.col("first_start"), F.lit(0).cast("bigint")).when((x <= F.col("last_stop")) & (F.col("passed") > 0), F.col("passed"))
 
-def _left_rank() -> Column:
-    """Rank of the gene that counts as the left neighbour, from the number of stops before the site; null for none."""
-    passed = F.col("stops_before") + F.size(F.filter("stops", lambda s: s < F.col("x")))
-    return F.when(F.col("n_genes").isNotNull() & (F.col("x") >= F.col("first_start")), F.when(F.col("x") > F.col("last_stop"), F.col("n_genes") - 1).when(passed > 0, passed - 1))
 
+def gene_steps(genes: DataFrame, contigs: DataFrame, space: int, window: int, size: int = BIN) -> DataFrame:
+    """One row (accession, bin, places, steps) for every stretch of ``size`` bases of the contigs (accession, chrom_length).
 
-def _right_rank() -> Column:
-    passed = F.col("stops_before") + F.size(F.filter("stops", lambda s: s < F.col("x")))
-    return F.when(F.col("x") < F.col("first_start"), F.lit(0)).when((F.col("x") <= F.col("last_stop")) & (passed > 0), passed)
+    What the genes mean to a site changes at a few places only: ``places`` are those in the stretch, the stretch's first
+    one among them, in order, and ``steps`` what holds from each on: ``covering`` (the genes that the place is in or nearer
+    to than ``space``), gene_density, left_gene, right_gene, intergenic_size and relative_orientation. Genes that change
+    something at one place are added up before, so a row has at most ``size`` steps, however many genes a contig has.
+    """
+    sized = contigs.groupBy("accession").agg(F.max("chrom_length").alias("chrom_length"))
+    known = genes.join(sized, "accession")
+    start, stop, none, one = F.col("start"), F.col("stop"), F.lit(0), F.lit(1)
+    covers = F.when(stop - start + 2 * space >= 2, 1).otherwise(0)
+    counted = F.when((start > 0) & (stop < F.col("chrom_length")) & (start - stop + 2 * window >= 2), 1).otherwise(0)
+
+    def step(at: Column, covering: Column = none, whole: Column = none, passed: Column = none) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), covering.alias("covering"), whole.alias("whole"), passed.alias("passed"))
+
+    changes = F.array(step(start - space + 1, covers), step(stop + space, -covers), step(stop - window + 1, whole=counted), step(start + window, whole=-counted), step(stop + 1, passed=one))
+    ends = known.groupBy("accession").agg(F.count("*").alias("n_genes"), F.min("start").alias("first_start"), F.max(F.struct("start", "stop")).getField("stop").alias("last_stop"))
+    steps = known.select("accession", "chrom_length", F.inline(changes)).where(F.col("at") <= F.col("chrom_length")).drop("chrom_length")
+    firsts = sized.select("accession", F.explode(F.sequence(F.lit(0).cast("bigint"), _bin(F.col("chrom_length"), size))).alias("at"))
+    plain = firsts.withColumn("at", F.col("at") * size).union(ends.select("accession", "first_start"))
+    steps = steps.union(plain.select("accession", "at", none, none, none)).groupBy("accession", F.greatest("at", F.lit(0).cast("bigint")).alias("at"))
+    sums = ["covering", "whole", "passed"]
+    state = _summed(steps.agg(*(F.sum(c).alias(c) for c in sums)), sums, size).join(ends, "accession", "left")
+    state = state.select("accession", "bin", "at", "covering", F.when(F.col("n_genes").isNotNull(), F.col("whole").cast("int")).alias("gene_density"), _left_rank(F.col("at")).alias("left_rank"), _right_rank(F.col("at")).alias("right_rank"))
+    ranked = _ranked(genes, size)
+    left = ranked.select("accession", F.col("rank").alias("left_rank"), F.col("tag").alias("left_gene"), F.col("strand").alias("left_strand"), F.col("stop").alias("left_stop"))
+    right = ranked.select("accession", F.col("rank").alias("right_rank"), F.col("tag").alias("right_gene"), F.col("strand").alias("right_strand"), F.col("start").alias("right_start"))
+    state = state.join(left, ["accession", "left_rank"], "left").join(right, ["accession", "right_rank"], "left")
+    between = (F.col("right_start") - F.col("left_stop")).alias("intergenic_size")
+    found = F.struct("at", "covering", "gene_density", "left_gene", "right_gene", between, relative_orientation(F.col("left_strand"), F.col("right_strand")).alias("relative_orientation"))
+    rows = state.groupBy("accession", "bin").agg(F.array_sort(F.collect_list(found)).alias("steps"))
+    return rows.select("accession", "bin", F.col("steps.at").alias("places"), "steps")
 
 
 def annotate_sites(sites: DataFrame, genes: DataFrame, contigs: DataFrame, space: int, window: int, only_free: bool = True, size: int = BIN) -> DataFrame:
@@ -84,22 +93,18 @@ def annotate_sites(sites: DataFrame, genes: DataFrame, contigs: DataFrame, space
     start, stop, strand and tag, without nulls in the first three; ``contigs`` accession and chrom_length. With
     ``only_free``, sites inside a gene or nearer than ``space`` to one are left out. The left neighbour is the gene
     whose rank by start is one below the number of genes that stop before the site, the right one has the next rank;
-    nested genes can make the size negative. Values are null where there is no neighbour or the contig has no genes.
+    nested genes can make the size negative. The density counts the genes that lie whole between ``window`` bases before
+    and after the site. Values are null where there is no neighbour or the contig has no genes.
 
-    Sites meet genes by (accession, stretch) and (accession, rank), never by accession alone, so a contig with most of
-    the sites spreads over the cluster.
+    Sites meet genes once, by (accession, stretch), never by accession alone, so a contig with most of the sites spreads
+    over the cluster; see ``gene_steps`` for contigs with most of the genes.
     """
-    found = _beside(sites, gene_bins(genes, contigs, space, window, size), size)
+    met = sites.withColumn("bin", _bin(F.col("x"), size)).join(gene_steps(genes, contigs, space, window, size), ["accession", "bin"], "left")
+    passed = F.size(F.filter("places", lambda at: at <= F.col("x")))
+    met = met.withColumn("step", F.get("steps", passed - 1))
     if only_free:
-        found = found.where(_free(space))
-    found = found.withColumns({"left_rank": _left_rank(), "right_rank": _right_rank(), "gene_density": _density(window)})
-    found = found.drop("bin", "near", "stops", "stops_before", "n_genes", "first_start", "last_stop")
-    ranked = _ranked(genes, size)
-    left = ranked.select("accession", F.col("rank").alias("left_rank"), F.col("tag").alias("left_gene"), F.col("strand").alias("left_strand"), F.col("stop").alias("left_stop"))
-    right = ranked.select("accession", F.col("rank").alias("right_rank"), F.col("tag").alias("right_gene"), F.col("strand").alias("right_strand"), F.col("start").alias("right_start"))
-    found = found.join(left, ["accession", "left_rank"], "left").join(right, ["accession", "right_rank"], "left")
-    found = found.withColumn("intergenic_size", F.col("right_start") - F.col("left_stop")).withColumn("relative_orientation", relative_orientation(F.col("left_strand"), F.col("right_strand")))
-    return found.drop("left_rank", "right_rank", "left_strand", "right_strand", "left_stop", "right_start")
+        met = met.where(F.coalesce(F.col("step.covering"), F.lit(0)) <= 0)
+    return met.select(*sites.columns, *(f"step.{c}" for c in ("left_gene", "right_gene", "intergenic_size", "relative_orientation", "gene_density")))
 
 
 def gaps_between(genes: DataFrame, contigs: DataFrame, size: int = BIN) -> DataFrame:
