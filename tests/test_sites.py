@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitewright.operators.genes import annotate_sites, gaps_between, numbered_zones, sites_in_zones
+from sitewright.operators.genes import annotate_sites, gaps_between, gene_steps, numbered_zones, sites_in_zones
 from sitewright.operators import offtarget
 from sitewright.operators.offtarget import best_blocks, histogram_over_runs, mismatch_counts, nearest_guides, nearest_library_guide, similar_guides, specific_guides
 from sitewright.operators.sites import find_sites, guide_library, site_tiles, unique_guides
@@ -256,6 +256,27 @@ def test_genes_around_sites(spark, size):
     assert not annotate_sites(sites, genes, contigs, 51, 160, size=size).where("accession = 'c' and x in (250, 450, 50)").count()
 
 
+@pytest.mark.parametrize("space, window", [(0, 3), (5, 40)])
+def test_contig_with_most_genes(spark, space, window):
+    r = random.Random(11)
+    starts = [r.randrange(1, 280) for _ in range(600)]
+    rows = [("h", s, s + r.choice((0, 1, 9, 60)), r.choice("+-"), f"t{i}") for i, s in enumerate(starts)] + [("o", 5, 9, "+", "only")]
+    genes = spark.createDataFrame(rows, "accession string, start bigint, stop bigint, strand string, tag string")
+    contigs = spark.createDataFrame([("h", 300), ("o", 300)], "accession string, chrom_length bigint")
+    assert gene_steps(genes, contigs, space, window, 100).selectExpr("max(size(steps))").first()[0] <= 100
+    sites = spark.createDataFrame([(a, x) for a in "ho" for x in range(0, 301, 7)], "accession string, x bigint").join(contigs, "accession")
+    found = {(g.accession, g.x): g for g in annotate_sites(sites, genes, contigs, space, window, only_free=False, size=100).collect()}
+    free = {(g.accession, g.x) for g in annotate_sites(sites, genes, contigs, space, window, size=100).select("accession", "x").collect()}
+    for (accession, x), got in found.items():
+        own = sorted((g[1], g[2], g[4]) for g in rows if g[0] == accession)
+        passed, last = sum(stop < x for _, stop, _ in own), own[-1][1]
+        left = None if x < own[0][0] else len(own) - 1 if x > last else passed - 1 if passed else None
+        right = 0 if x < own[0][0] else passed if x <= last and 0 < passed < len(own) else None
+        assert (got.left_gene, got.right_gene) == (None if left is None else own[left][2], None if right is None else own[right][2])
+        assert got.gene_density == sum(a > max(0, x - window) and b < min(300, x + window) for a, b, _ in own)
+        assert ((accession, x) in free) == (not any(a - space < x < b + space for a, b, _ in own))
+
+
 def test_zones(spark):
     genes = spark.createDataFrame(GENES[3:], "accession string, start bigint, stop bigint, strand string, tag string")
     contigs = spark.createDataFrame([("n", 3000), ("e", 100)], "accession string, chrom_length bigint")
