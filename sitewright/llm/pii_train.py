@@ -25,7 +25,8 @@ DOCUMENTS = 4000
 MADE = 24_000
 REFILLS = 1
 WORKERS = 8
-NAMES_KEPT = 0.35
+NAMES_KEPT, PLAIN_KEPT = 0.35, 0.15
+RATE, RATE_ON = 4e-3, 6e-4  # for fresh weights, and to go on from others
 HIDDEN = 32
 TAGS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
 
@@ -50,11 +51,12 @@ def refilled(text: str, spans: list[tuple[int, int, str]], r: random.Random) ->
     return "".join([*parts, text[at:]]), moved
 
 
-def examples(texts: Sequence[str], refills: int = 0, names_kept: float = 1.0, seed: int = 0) -> tuple[list[str], list[np.ndarray]]:
+def examples(texts: Sequence[str], refills: int = 0, names_kept: float = 1.0, seed: int = 0, plain_kept: float = 1.0) -> tuple[list[str], list[np.ndarray]]:
     """Windows with their tags, equal windows once: each text as it is, and ``refills`` times with its spans refilled.
 
     The rare kinds, and windows with digits that are no case, come with every refill. Of the windows that hold names or
-    nothing, a share of ``names_kept`` is taken from the text as it is and its first refill only.
+    nothing, a share of ``names_kept`` is taken from the text as it is and its first refill only; of the windows that hold
+    nothing at all, digits or not, a share of ``plain_kept``.
     """
     r = random.Random(seed)
     seen: dict[str, np.ndarray] = {}
@@ -65,6 +67,8 @@ def examples(texts: Sequence[str], refills: int = 0, names_kept: float = 1.0, se
             tags = tag_numbers(len(t), s)
             for a, b, _, _ in windows(t):
                 part = tags[a:b].copy()
+                if plain_kept < 1 and not part.any() and r.random() >= plain_kept:
+                    continue
                 rare = any(TAGS[k][2:] not in ("", "person_name") for k in np.unique(part)) or sum(c.isdigit() for c in t[a:b]) > 5
                 if not rare and (n > 1 or r.random() >= names_kept):
                     continue
@@ -107,7 +111,7 @@ def main(source: str, target: str) -> None:
     made = made_examples(texts[:DOCUMENTS], MADE)
     unseen = made_examples(texts[DOCUMENTS : DOCUMENTS + 300], 500, seed=8)
     more = len(sys.argv) > 4
-    given = examples(texts[:DOCUMENTS], REFILLS, 1.0 if more else NAMES_KEPT, seed=int(more))
+    given = examples(texts[:DOCUMENTS], REFILLS, 1.0 if more else NAMES_KEPT, seed=int(more), plain_kept=PLAIN_KEPT)
     start = Tagger.load(sys.argv[4]) if more else Tagger.fresh(TAGS, HIDDEN)
     given = tuple(x + y for x, y in zip(given, made, strict=True))
     print(len(given[0]), "windows,", sum(map(len, given[0])), "characters", flush=True)
@@ -119,7 +123,7 @@ def main(source: str, target: str) -> None:
         tagger.save(target)
 
     with get_context("fork").Pool(WORKERS) as pool:
-        train(start, *given, epochs=int(sys.argv[3]) if len(sys.argv) > 3 else 6, batch=256, rate=1.2e-3 if more else 4e-3, report=report, run=pool.map, shares=WORKERS)
+        train(start, *given, epochs=int(sys.argv[3]) if len(sys.argv) > 3 else 6, batch=256, rate=RATE_ON if more else RATE, report=report, run=pool.map, shares=WORKERS)
 
 
 if __name__ == "__main__":

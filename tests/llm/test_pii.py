@@ -94,6 +94,40 @@ def test_windows_cover_regions():
     assert regions("") == [] and regions("nothing here to find") == []
 
 
+def test_windows_cover_all_text():
+    shown, hidden = "nothing here to find, not even a number " * 60, r"\begin{thebibliography}{9} Wei Pellgarford \end{thebibliography}"
+    for text in (shown, shown + hidden + shown, hidden + "x", hidden + hidden, "x", ""):
+        decided = np.zeros(len(text), int)
+        for begin, end, low, high in windows(text):
+            assert end - begin <= WIDTH and begin <= low < high <= end
+            decided[low:high] += 1
+        want = np.ones(len(text), int)
+        for k in range(len(text)):
+            if text.startswith(hidden, k):
+                want[k : k + len(hidden)] = 0
+        assert (decided == want).all()
+
+
+def test_case_without_a_trait_is_found():
+    """Texts without two capitalised words, five digits or an at sign, which the tagger never saw."""
+    plain = "the weather was fine and nothing happened. " * 30
+    for before, case, kind in (("SSN ", "4821", "id_number"), ("Her passport no. ", "X4821", "id_number"), ("lives at ", "12 rue des lilas, 0045 Paris", "street_address")):
+        text = plain + before + case + " and that was all. " + plain
+        assert not regions(text)
+        assert [(k, text[a:b]) for a, b, k in find_spans([text], load())[0]] == [(kind, case)]
+
+
+def test_paths_on_open_stretches_equal_viterbi():
+    r = np.random.default_rng(4)
+    tagger = load()
+    for bias, move in ((0.0, 1.0), (2.0, 1.0), (4.0, 1.0), (6.0, 1.0), (3.0, 0.0), (3.0, -1.0)):
+        some = Tagger(tagger.tags, tagger.weights | {"move": tagger.weights["move"] * np.float32(move), "start": tagger.weights["start"] * np.float32(move)})
+        scores, size = r.normal(0, 3, (40, 60, len(some.tags))).astype(np.float32), r.integers(1, 41, 60)
+        scores[:, :, 0] += bias
+        found, want = some._best_paths(scores, size), some._viterbi(scores, size)
+        assert all((found[:n, k] == want[:n, k]).all() for k, n in enumerate(size))
+
+
 def test_labels_and_refills():
     r = random.Random(3)
     assert {(k, as_read(TEXT[a:b])) for a, b, k in label(TEXT)} >= {x for x in WANT if "J" not in x[1]} - {("person_name", "I. M.~Brodersen")}
