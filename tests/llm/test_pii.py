@@ -128,6 +128,42 @@ def test_paths_on_open_stretches_equal_viterbi():
         assert all((found[:n, k] == want[:n, k]).all() for k, n in enumerate(size))
 
 
+def test_few_places_are_open():
+    """Viterbi is worked out only around cases, though the bound must hold for all moves."""
+    tagger = load()
+    symbols, size = encode_batch([TEXT[a:b] for a, b, _, _ in windows(TEXT)] + ["The weather was fine and nothing happened, as in Table 12 of the last part. " * 6] * 4)
+    some, _ = tagger._open(tagger.scores(symbols, size), size)
+    assert 0 < some.sum() < 0.25 * size.sum()
+
+
+def test_texts_without_hope_have_no_case():
+    r = np.random.default_rng(5)
+    tagger = load()
+    texts = [TEXT[:-k] for k in range(1, 200, 7)] + ["so it was. " * 40, "lives at 12 rue des lilas, 0045 Paris", "SSN 4821", "x"]
+    symbols, size = encode_batch(texts)
+    real = tagger.scores(symbols, size)
+    assert tagger._hopeful(real, size).tolist() == [*[True] * (len(texts) - 4), False, True, True, False]
+    for bias in (2.0, 5.0, 8.0):
+        scores = r.normal(0, 2, (60, 80, len(tagger.tags))).astype(np.float32)
+        scores[:, :, 0] += bias
+        size = r.integers(1, 61, 80)
+        hope, want, strong = tagger._hopeful(scores, size), tagger._viterbi(scores, size), tagger._open(scores, size)[1]
+        assert hope[strong.any(0)].all()
+        assert not any(want[:n, k].any() for k, n in enumerate(size) if not hope[k])
+        assert (~hope).any() or bias < 8
+
+
+@pytest.mark.parametrize("onnx", [True, False])
+def test_readers_equal_exact(onnx):
+    if onnx:
+        pytest.importorskip("onnxruntime")
+    tagger = load()
+    symbols, size = encode_batch([TEXT[:200], TEXT[200:330], "x", "Mina Zoltre"])
+    exact = tagger.scores(symbols, size, keep=True)[0]
+    found = tagger.scores(symbols, size, read=tagger.reader() if onnx else tagger._relative)
+    assert all(np.abs(found[:n, k] - (exact[:n, k] - exact[:n, k, :1])).max() < 1e-3 for k, n in enumerate(size))
+
+
 def test_labels_and_refills():
     r = random.Random(3)
     assert {(k, as_read(TEXT[a:b])) for a, b, k in label(TEXT)} >= {x for x in WANT if "J" not in x[1]} - {("person_name", "I. M.~Brodersen")}
